@@ -28,17 +28,26 @@ class Band:
     entropy: tuple[float, float]
 
 
-#: Bands by language code, or by script where the language is unknown; "" holds for all others. The lower bound of characters per token finds
-#: symbols and noise that no merge covers, the upper one a few long tokens over and over, as the lower one of entropy does.
+WIDE = Band((1.2, 8.0), (0.0, 0.40), (3.0, 16.0))
+ANY = Band((0.2, 8.0), (0.0, 1.0), (2.0, 16.0))
+
+
+def latin(least: float) -> tuple[Band, Band]:
+    return WIDE, Band((least, 8.0), (0.0, 0.40), (3.0, 16.0))
+
+
+#: Bands by language code, or by script where the language is unknown, for the piece vocabulary and for the ranks; "" holds for all others. The
+#: lower bound of characters per token finds symbols and noise that no merge covers, the upper one a few long tokens over and over, as the lower
+#: one of entropy does.
 BANDS = {
-    "en": Band((1.35, 8.0), (0.0, 0.30), (3.0, 16.0)),
-    "de": Band((1.35, 8.0), (0.0, 0.30), (3.0, 16.0)),
-    "fr": Band((1.30, 8.0), (0.0, 0.30), (3.0, 16.0)),
-    "es": Band((1.30, 8.0), (0.0, 0.30), (3.0, 16.0)),
-    "latin": Band((1.25, 8.0), (0.0, 0.40), (3.0, 16.0)),
-    "greek": Band((0.6, 8.0), (0.0, 0.60), (3.0, 16.0)),
-    "cyrillic": Band((0.8, 8.0), (0.0, 0.60), (3.0, 16.0)),
-    "": Band((0.2, 8.0), (0.0, 1.0), (2.0, 16.0)),
+    "en": latin(1.87),
+    "de": latin(1.855),
+    "fr": latin(1.72),
+    "es": latin(1.70),
+    "latin": latin(1.60),
+    "greek": (Band((0.6, 8.0), (0.0, 0.60), (3.0, 16.0)),) * 2,
+    "cyrillic": (Band((0.8, 8.0), (0.0, 0.60), (3.0, 16.0)),) * 2,
+    "": (ANY, ANY),
 }
 
 #: Scripts told apart by the first byte of a letter in UTF-8: name, first and last lead byte.
@@ -171,12 +180,12 @@ def script_of(text: bytes) -> str:
     return SCRIPT_NAMES[1 + int(counts.argmax())] if counts.any() else "other"
 
 
-def quality(docs: DataFrame, vocabularies: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", bands: dict[str, Band] | None = None, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
+def quality(docs: DataFrame, vocabularies: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", bands: dict[str, tuple[Band, ...]] | None = None, min_words: int = 20, max_repeat_percent: int = 30, band_words: int = 40) -> DataFrame:
     """One row per input row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, script, and for the k-th
     vocabulary chars_per_token_k, fallback_share_k and entropy_k; rejected_by names the first bound that a text breaks.
 
     Words are what stands between ASCII white space; each is encoded by itself, and characters are those of words. Null and empty texts have no
-    words: they fail the base rule, and their measures are null. Language null or unknown: the script's bands hold. Rows that repeat are judged
+    words: they fail the base rule, and their measures are null. Bands hold from band_words words on, as rates over fewer say little. Language null or unknown: the script's bands hold. Rows that repeat are judged
     each. A map over rows: nothing is shuffled, and other columns are not read. SentencePiece vocabularies end in .model, files of ranks don't.
     """
     bands = bands or BANDS
@@ -198,13 +207,14 @@ def quality(docs: DataFrame, vocabularies: tuple[str, ...], id_col: str = "doc_i
                 chars = int((memory.chars[unique] * times).sum())
                 failed = n < min_words or 100 * again > max_repeat_percent * n
                 script = script_of(text)
-                band = bands.get(lang) or bands.get(script) or bands[""]
+                own = bands.get(lang) or bands.get(script) or bands[""]
                 why, measures = "too few words" if n < min_words else "repeated windows" if failed else None, []
                 for k in range(len(vocabularies)):
+                    band = own[min(k, len(own) - 1)]
                     tokens, falls, bits = memory.measure(k, unique, times)
                     got = (chars / tokens, falls / tokens, bits) if tokens else (None, None, None)
                     for what, x, (low, high) in zip(("characters per token", "fallback share", "entropy"), got, (band.chars_per_token, band.fallback_share, band.entropy), strict=True):
-                        if x is not None and not low <= x <= high:
+                        if n >= band_words and not low <= x <= high:
                             why = why or f"{what} of vocabulary {k}"
                     measures += got
                 row = [n, chars, len(text) - len(text.translate(None, SYMBOLS)), repeated_lines(text), again, failed, why is None, script, why, *measures]

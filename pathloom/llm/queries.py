@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common, exact_dedup, packing, quality, secret_scan
+from . import byte_bpe, common, exact_dedup, line_dedup, minmax_dedup, packing, phrase_dedup, pii_crf, quality, secret_scan
 
 #: The vocabularies whose fertility is measured.
 FERTILITY = ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")
@@ -26,6 +26,14 @@ def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_duplicates(documents(spark, sf_dir), k=2)
+
+
+def op4_prefix_free_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.phrase_dedup(documents(spark, sf_dir))
+
+
 def digest_spans(spans, kind: str = "kind"):
     """kind:start:end joined by commas, in the order given."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s[kind], s["start"], s["end"])), ",")
@@ -38,10 +46,21 @@ def op5_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(digest_spans(base), 256).alias("base_sha256"), digest_spans(F.col("found")).alias("spans"))
 
 
+def op6_shape_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_crf.personal_data(documents(spark, sf_dir))
+    base = F.filter("found", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(digest_spans(base), 256).alias("base_sha256"), digest_spans(F.col("found")).alias("spans"))
+
+
 def op7_digest_run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir))
+
+
 def op9_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -51,7 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_digest_run_merge": OP7_SQL}
+    return {"op7_digest_run_merge": OP7_SQL, "op8_line_runs": OP8_SQL}
 
 
 OP7_SQL = """
@@ -61,3 +80,15 @@ with d as (
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, text_sha256
 from d window w as (partition by text_sha256)
 """
+
+OP8_SQL = """
+with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+k as (
+  select doc_id, ls, list_transform(ls, lambda x: translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as ks
+  from l
+),
+f as (select k from (select distinct doc_id, unnest(ks) as k from k) where k <> '' group by k having count(*) >= 10),
+a as (select coalesce(list(k), []) as drop_keys from f),
+r as (select doc_id, ls, list_filter(ls, lambda x, i: not list_contains(drop_keys, ks[i])) as kept from k, a)
+select doc_id, len(ls)::bigint as n_lines, (len(ls) - len(kept))::bigint as n_dropped, sha256(coalesce(array_to_string(kept, chr(10)), '')) as kept_sha256 from r
+"""
