@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common, exact_dedup, line_dedup, minmax_dedup, packing, phrase_dedup, pii_crf, quality, secret_scan
+from . import byte_bpe, common, exact_dedup, line_dedup, lm_scoring, minmax_dedup, packing, phrase_dedup, pii_crf, quality, secret_scan
 
 #: The vocabularies whose fertility is measured.
 FERTILITY = ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")
@@ -65,6 +65,10 @@ def op9_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_window_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.pseudo_likelihood(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
