@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import numpy as np
 import regex
@@ -17,7 +18,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Chunks that a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Symbols in a batch of words merged together.
 BATCH_SYMBOLS = 1 << 18
 
@@ -54,10 +55,13 @@ class ByteBPE:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank_of, self.made = keys[order], order.astype(np.int64), made
         self.none = len(made)
-        self.chunks = regex.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+        self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self.words = regex.compile(SPLIT)
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.memory: dict[str, tuple[str, int, bytes]] = {}
+        self.text_of = {i: str(i) for i in self.bytes_of}
+        # strings and bytes alone, which Python's garbage collector doesn't visit
+        self.ids: dict[str, str] = {t: str(i) for t, i in self.special.items()}
+        self.back: dict[str, bytes] = {t: self.bytes_of[i] for t, i in self.special.items()}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, none where it doesn't merge or a side is missing (negative)."""
@@ -65,9 +69,9 @@ class ByteBPE:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((left >= 0) & (right >= 0) & (self.keys[at] == key), self.rank_of[at], self.none)
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
+    def merge(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word. All words go through one loop; a word leaves the batch when its root has no pair left."""
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
+        out: list[list[int]] = [[]] * len(words)
         by_size: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_size.setdefault(max(1, (len(w) - 1).bit_length()), []).append(i)
@@ -75,11 +79,14 @@ class ByteBPE:
             step = max(1, BATCH_SYMBOLS >> bits)
             for k in range(0, len(those), step):
                 part = those[k : k + step]
-                for i, ids in zip(part, self._merge([words[i] for i in part], bits), strict=True):
-                    out[i] = ids
+                ids, ends = self._merge([words[i] for i in part], bits)
+                low = 0
+                for i, end in zip(part, ends, strict=True):
+                    out[i] = ids[low:end]
+                    low = end
         return out
 
-    def _merge(self, words: list[bytes], bits: int) -> list[np.ndarray]:
+    def _merge(self, words: list[bytes], bits: int) -> tuple[list[int], list[int]]:
         n, m = 1 << bits, len(words)
         symbols = np.full((m, n + 1), -1, dtype=np.int64)  # the last column stands for what lies beyond the word
         sizes = np.array([len(w) for w in words])
@@ -118,48 +125,56 @@ class ByteBPE:
                     tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
             live = live[tree[live, 1] < end]
         there = symbols[:, :n] >= 0
-        return np.split(symbols[:, :n][there], np.cumsum(there.sum(1))[:-1])
+        return symbols[:, :n][there].tolist(), np.cumsum(there.sum(1)).tolist()
 
     def learn(self, chunks: set[str]) -> None:
-        """Put what isn't remembered yet into the memory: the ids as decimal text, their number, and what they decode to."""
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        new = [c for c in chunks if c not in self.memory]
-        split = [self.words.findall(c) for c in new]
-        words = list({w for s in split for w in s})
-        ids = {}
-        for w, got in zip(words, self.merge([w.encode() for w in words]), strict=True):
-            got = got.tolist()
-            ids[w] = (",".join(map(str, got)), len(got), b"".join(map(self.bytes_of.__getitem__, got)))
-        for c, s in zip(new, split, strict=True):
-            if len(s) == 1:
-                self.memory[c] = ids[s[0]]
+        """Put what isn't remembered yet into the memory: the ids as decimal text, and the bytes that they decode to."""
+        if len(self.ids) > REMEMBERED:
+            self.ids.clear()
+            self.back.clear()
+            for t, i in self.special.items():
+                self.ids[t], self.back[t] = str(i), self.bytes_of[i]
+        new = chunks.difference(self.ids)
+        split, words = {}, set()
+        for c in new:
+            # letters alone, or behind one space, are one word of the pattern; a stop after them is another
+            core = c[1:] if c[0] == " " else c
+            if core.isalpha():
+                words.add(c)
             else:
-                parts = [ids[w] for w in s]
-                self.memory[c] = (",".join(p[0] for p in parts), sum(p[1] for p in parts), b"".join(p[2] for p in parts))
-
-    def pieces(self, text: str) -> list[str | int]:
-        """The text's chunks, which no merge crosses; an id where a special token stands."""
+                split[c] = s = [c[:-1], c[-1]] if core and core[-1] in ".,;:!?" and core[:-1].isalpha() else self.words.findall(c)
+                words.update(s)
+        fresh = list(words.difference(self.ids))
+        text, raw = self.text_of, self.bytes_of
+        more, back = {}, {}
+        for w, got in zip(fresh, self.merge([w.encode() for w in fresh]), strict=True):
+            self.ids[w] = ",".join([text[i] for i in got])
+            self.back[w] = b"".join([raw[i] for i in got])
+        for c, s in split.items():
+            more[c], back[c] = ",".join([self.ids[w] for w in s]), b"".join([self.back[w] for w in s])
+        self.ids |= more
+        self.back |= back
+
+    def pieces(self, text: str) -> list[str]:
+        """The text's chunks, which no merge crosses, and special tokens."""
         if not self.specials or not self.specials.search(text):
             return self.chunks.findall(text)
-        out: list[str | int] = []
+        out: list[str] = []
         at = 0
         for m in self.specials.finditer(text):
             out += self.chunks.findall(text[at : m.start()])
-            out.append(self.special[m[0]])
+            out.append(m[0])
             at = m.end()
         return out + self.chunks.findall(text[at:])
 
     def code(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text: number of ids, the ids in decimal joined by commas, and the text decoded from them."""
         split = [self.pieces(t) for t in texts]
-        self.learn({c for s in split for c in s if isinstance(c, str)})
-        for t, i in self.special.items():
-            self.memory[i] = (str(i), 1, t.encode())  # type: ignore[index]
+        self.learn(set().union(*split))
         out = []
         for s in split:
-            got = list(map(self.memory.__getitem__, s))
-            out.append((sum([g[1] for g in got]), ",".join([g[0] for g in got]), b"".join([g[2] for g in got]).decode("utf-8", "replace")))
+            ids = ",".join(map(self.ids.__getitem__, s))
+            out.append((ids.count(",") + 1 if ids else 0, ids, b"".join(map(self.back.__getitem__, s)).decode("utf-8", "replace")))
         return out
 
 
