@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -15,26 +16,75 @@ from .common import map_texts, written
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
+#: Stops that no rule joins with letters before them.
+STOPS = (b".", b",", b";", b":", b"!", b"?")
 #: Rows that one task ranks at most, on average; more rows of a length are dealt over more buckets.
 RANKED = 50_000
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of white-space-free chunks as little-endian bytes, from the tokenizers library, each chunk encoded once."""
 
+    #: Words encoded as one text.
+    JOINED = 2000
+
     def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = np.array(self.encode(chunk.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self[chunk] = ids
-        return ids
+        self.model = Tokenizer.from_file(path)
+        suffix = json.loads(self.model.to_str())["model"]["end_of_word_suffix"] or "\0"
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(1 + max(vocabulary.values()), dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.known: dict[bytes, bytes] = {}
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Put what isn't known yet into the memory.
+
+        The vocabulary's rules lower the case and part letters from stops, so of ASCII words in either case and with a stop after them the bare
+        lower-case word is encoded. Words of letters are encoded many at once: each ends in one token with the suffix, and if there are
+        more such tokens than words, they are encoded one by one.
+        """
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known = self.known
+        parts: dict[bytes, tuple[bytes, ...]] = {}
+        bare, odd = set(), set()
+        for c in chunks.difference(known):
+            text = c.lower() if c.isascii() else c
+            core = text[:-1] if text[-1:] in STOPS else text
+            if core and (core.isalpha() if core.isascii() else core.decode().isalpha()):
+                bare.add(core)
+                if core is not text:
+                    odd.add(text[-1:])
+                    parts[c] = (core, text[-1:])
+                elif text != c:
+                    parts[c] = (core,)
+            else:
+                odd.add(c)
+        words = list(bare.difference(known))
+        for k in range(0, len(words), self.JOINED):
+            part = words[k : k + self.JOINED]
+            ids = self.encode(b" ".join(part).decode())
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                raw, low = ids.tobytes(), 0
+                for w, end in zip(part, (4 * ends).tolist(), strict=True):
+                    known[w] = raw[low:end]
+                    low = end
+            else:
+                odd.update(part)
+        for c in odd.difference(known):
+            known[c] = self.encode(c.decode()).tobytes()
+        for c, p in parts.items():
+            known[c] = b"".join([known[w] for w in p])
 
 
 _MEMORY: dict[str, WordIds] = {}
@@ -42,7 +92,7 @@ _MEMORY: dict[str, WordIds] = {}
 
 def word_ids(path: str) -> WordIds:
     """This worker's memory for a vocabulary; it outlives the task."""
-    if path not in _MEMORY or len(_MEMORY[path]) > REMEMBERED:
+    if path not in _MEMORY:
         _MEMORY[path] = WordIds(path)
     return _MEMORY[path]
 
@@ -57,8 +107,11 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     def make():
         def f(_, texts):
             rows, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(texts):
-                ids = b"".join(map(word_ids(vocabulary).__getitem__, text.split() if text else ())) + end
+            chunks = [text.split() if text else [] for text in texts]
+            memory = word_ids(vocabulary)
+            memory.learn(set().union(*chunks))
+            for i, own in enumerate(chunks):
+                ids = b"".join(map(memory.known.__getitem__, own)) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append(i)
