@@ -16,9 +16,9 @@ from .common import map_texts, written
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 600_000
-#: Stops that no rule joins with letters before them.
-STOPS = (b".", b",", b";", b":", b"!", b"?")
+REMEMBERED = 1_100_000
+#: Signs that no rule joins with letters before them; those in a row are one word of the rules.
+STOPS = b".,;:!?#*$%&|()"
 #: Rows that one task ranks at most, on average; more rows of a length are dealt over more buckets.
 RANKED = 50_000
 
@@ -48,7 +48,7 @@ class WordIds:
     def learn(self, chunks: set[bytes]) -> None:
         """Put what isn't known yet into the memory.
 
-        The vocabulary's rules lower the case and part letters from stops, so of ASCII words in either case and with a stop after them the bare
+        The vocabulary's rules lower the case and part letters from signs, so of ASCII words in either case and with signs after them the bare
         lower-case word is encoded. Words of letters are encoded many at once: each ends in one token with the suffix, and if there are
         more such tokens than words, they are encoded one by one.
         """
@@ -59,12 +59,13 @@ class WordIds:
         bare, odd = set(), set()
         for c in chunks.difference(known):
             text = c.lower() if c.isascii() else c
-            core = text[:-1] if text[-1:] in STOPS else text
+            core = text.rstrip(STOPS)
             if core and (core.isalpha() if core.isascii() else core.decode().isalpha()):
                 bare.add(core)
-                if core is not text:
-                    odd.add(text[-1:])
-                    parts[c] = (core, text[-1:])
+                if len(core) < len(text):
+                    tail = text[len(core) :]
+                    odd.add(tail)
+                    parts[c] = (core, tail)
                 elif text != c:
                     parts[c] = (core,)
             else:
