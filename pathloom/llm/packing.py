@@ -23,6 +23,12 @@ STOPS = b".,;:!?#*$%&|()"
 RANKED = 50_000
 
 
+def letters(word: bytes) -> bool:
+    """Whether a word is letters alone, also once its case is lowered, which may add marks."""
+    text = word.decode()
+    return text.isalpha() and text.lower().isalpha()
+
+
 class WordIds:
     """Ids of white-space-free chunks as little-endian bytes, from the tokenizers library, each chunk encoded once."""
 
@@ -60,7 +66,7 @@ class WordIds:
         for c in chunks.difference(known):
             text = c.lower() if c.isascii() else c
             core = text.rstrip(STOPS)
-            if core and (core.isalpha() if core.isascii() else core.decode().isalpha()):
+            if core and (core.isalpha() if core.isascii() else letters(core)):
                 bare.add(core)
                 if len(core) < len(text):
                     tail = text[len(core) :]
