@@ -13,9 +13,8 @@ from .components import components
 #: Hash functions, of which both ends count: 2 * HASHES values a document. ROWS values are a band, of minima or maxima alone.
 HASHES, ROWS = 64, 4
 BANDS = 2 * HASHES // ROWS
-#: Bits of the sketch on which two documents may differ and still be compared whole. At a similarity of 0.8 a bit differs with probability
-#: 0.1; 128 bits differ on 12.8 with a deviation of 3.4, and on more than 40 for fewer than one pair in 10**10.
-MAY_DIFFER = 40
+#: Hash functions of the deep sketch, of which only documents in crowded neighbourhoods get one.
+DEEP = 1024
 #: Shingles hashed at a time.
 CHUNK = 512
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -24,6 +23,17 @@ ADDENDS = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
 WEIGHTS = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+DEEP_FACTORS = _RNG.integers(1, 2**63, DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+DEEP_ADDENDS = _RNG.integers(0, 2**63, DEEP, dtype=np.uint64)
+
+
+def may_differ(bits: int, percent: int, deviations: float) -> int:
+    """Bits on which the sketches of two sets that are just similar enough may differ: a bit differs with half the distance as probability.
+    Six deviations are passed by fewer than one pair in 10**8, 5.2 by one in 10**7."""
+    p = (100 - percent) / 200
+    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Every bit of the result depends on every bit of x."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -54,14 +64,20 @@ def shingles(text: bytes | None, k: int, memory: Hashes) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """The least and the greatest value of each hash function over the set: HASHES evaluations a shingle for 2 * HASHES values."""
-    low, high = np.full(HASHES, 2**64 - 1, np.uint64), np.zeros(HASHES, np.uint64)
-    for at in range(0, len(found), CHUNK):
-        y = found[at : at + CHUNK, None] * FACTORS + ADDENDS
+def signature(found: np.ndarray, factors: np.ndarray = FACTORS, addends: np.ndarray = ADDENDS) -> np.ndarray:
+    """The least and the greatest value of each hash function over the set: one evaluation a shingle for two values."""
+    low, high = np.full(len(factors), 2**64 - 1, np.uint64), np.zeros(len(factors), np.uint64)
+    step = CHUNK * HASHES // len(factors)
+    for at in range(0, len(found), step):
+        y = found[at : at + step, None] * factors + addends
         np.minimum(low, y.min(0), out=low)
         np.maximum(high, y.max(0), out=high)
-    return np.concatenate([low, high])
+    return mixed(np.concatenate([low, high]))
+
+
+def sketch(values: np.ndarray) -> list[int]:
+    """One bit of each value, as longs."""
+    return np.packbits((values & np.uint64(1)).astype(bool)).view(np.int64).tolist()
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -75,12 +91,12 @@ def features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             for text in texts:
                 found = shingles(text, k, memory)
                 if len(found):
-                    s = mixed(signature(found))
-                    bits = np.packbits((s & np.uint64(1)).astype(bool)).view(np.int64)
+                    s = signature(found)
+                    bits = sketch(s)
                     band = np.arange(BANDS, dtype=np.uint64)
                     for row in s.reshape(BANDS, ROWS).T:
                         band = mixed(band * WEIGHTS[0] + row)
-                    values = (len(found), xxhash.xxh3_128_digest(found.tobytes()), int(bits[0]), int(bits[1]), band.view(np.int64).tolist())
+                    values = (len(found), xxhash.xxh3_128_digest(found.tobytes()), *bits, band.view(np.int64).tolist())
                 else:
                     values = (0, None, None, None, None)
                 for c, x in zip(columns, values, strict=True):
@@ -92,18 +108,19 @@ def features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return map_texts(docs, [order_key(id_col)], text_col, make, "n long, set_key binary, bits0 long, bits1 long, bands array<long>").withColumnRenamed("_k0", "id")
 
 
-def whole_sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, members) with a set's 64-bit hashes, sorted, as bytes."""
+def whole_sets(docs: DataFrame, id_col: str, text_col: str, k: int, deep: bool) -> DataFrame:
+    """(id, members, deep): a set's 64-bit hashes, sorted, as bytes, and its deep sketch if asked for."""
 
     def make():
         memory = Hashes()
 
         def f(_, texts):
-            return [[shingles(t, k, memory).tobytes() for t in texts]], None
+            found = [shingles(t, k, memory) for t in texts]
+            return [[x.tobytes() for x in found], [sketch(signature(x, DEEP_FACTORS, DEEP_ADDENDS)) if deep else None for x in found]], None
 
         return f
 
-    return map_texts(docs, [order_key(id_col)], text_col, make, "members binary").withColumnRenamed("_k0", "id")
+    return map_texts(docs, [order_key(id_col)], text_col, make, "members binary, deep array<long>").withColumnRenamed("_k0", "id")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -129,7 +146,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def likely(a: str, b: str, percent: int) -> Column:
     """What two sets that are similar enough have in common: sizes within the bound, and sketches that differ on few bits."""
-    near = F.expr(f"bit_count({a}.bits0 ^ {b}.bits0) + bit_count({a}.bits1 ^ {b}.bits1) <= {MAY_DIFFER}")
+    near = F.expr(f"bit_count({a}.bits0 ^ {b}.bits0) + bit_count({a}.bits1 ^ {b}.bits1) <= {may_differ(2 * HASHES, percent, 6)}")
     return near & F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)")
 
 
@@ -144,7 +161,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     BANDS bands with probability (1 - 0.8**4)**32 < 10**-7. In each bucket of a band two hubs, the smallest and the greatest member in an order
     of the band's own, are compared with all others, so a bucket of m classes has fewer than 2 m pairs, and a class has other hubs
     in other bands. After these links are merged, members of a bucket that aren't with its hub are compared with all that are in other
-    components than theirs, so no link between components goes unseen: no bucket is capped.
+    components than theirs, so no link between components goes unseen: no bucket is capped. These comparisons are made within the join, on deep
+    sketches of 2 * DEEP bits, and a pair that shares several buckets in the first of them; only what the sketches leave open is compared whole.
     """
     spark = docs.sparkSession
     rows = written(features(docs, id_col, text_col, k), "minmax")
@@ -168,11 +186,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = written(promising(found), "pairs")
     texts = docs.select(F.col(id_col), F.col(text_col), order_key(id_col).alias("node"))
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        return written(whole_sets(texts.join(wanted.hint("shuffle_hash"), "node", "left_semi"), id_col, text_col, k).dropDuplicates(["id"]), "sets")
+    def sets_of(wanted: DataFrame, deep: bool = False) -> DataFrame:
+        return written(whole_sets(texts.join(wanted.distinct().hint("shuffle_hash"), "node", "left_semi"), id_col, text_col, k, deep).dropDuplicates(["id"]), "sets")
 
-    sets = sets_of(pairs)
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
     links = written(confirmed(pairs, sets, percent), "links")
     remove(sets)
     release(spark)
@@ -183,16 +200,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = placed.select("node", "label", F.explode("bands").alias("band"))
     hubs = spread.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(turn, "label"))["label"].alias("main")).where("low <> high").select("band", "main")
     full = placed.select("node", "label", "n", "bits0", "bits1", F.explode("bands").alias("band")).join(hubs, "band")
-    x, y = full.where("label <> main").alias("x"), full.drop("main").alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & likely("x", "y", percent))
-    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    apart = full.where("label <> main")
+    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & likely("x", "y", percent)
+    crowd = apart.alias("x").join(full.alias("y"), meet, "left_semi").select("node").union(full.alias("x").join(apart.alias("y"), meet, "left_semi").select("node"))
+    sets = sets_of(crowd, deep=True)
+    release(spark)
+    more = sets.select(F.col("id").alias("node"), "deep").join(placed.select("node", F.array_sort("bands").alias("bands")), "node")
+    apart, full = apart.join(more, "node"), full.drop("main").join(more, "node")
+    differ = " + ".join(f"bit_count(x.deep[{i}] ^ y.deep[{i}])" for i in range(DEEP // 32))
+    nearer = F.expr(f"{differ} <= {may_differ(2 * DEEP, percent, 5.2)}")
+    once = F.col("x.band") == F.array_min(F.array_intersect("x.bands", "y.bands"))
+    rest = apart.alias("x").join(full.alias("y"), meet & nearer & once).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        sets = sets_of(rest)
-        more = written(confirmed(rest, sets, percent), "links")
-        remove(sets)
-        if not more.isEmpty():
-            labels = written(components(links.unionByName(more)), "labels")
+        found = written(confirmed(rest, sets, percent), "links")
+        if not found.isEmpty():
+            labels = written(components(links.unionByName(found)), "labels")
+    remove(sets)
     release(spark)
     whole = member.join(labels, "node", "left").select("id", label).groupBy("id").agg(F.min("label").alias("label"))
     own = F.coalesce("label", "id")
