@@ -20,6 +20,8 @@ SPREAD = WINDOW - GRAM + 1
 SEGMENT = 1 << 20
 #: Bits of the filter for repeated triggers: a fixed 8 MB. Where so many repeat that it is full, it lets all pass; the result is the same.
 FILTER_BITS = 1 << 26
+#: Windows put in order at a time, at least, and phrases with one trigger beyond which they are opened before they are dealt out.
+OPENED, CROWDED = 20_000, 500
 _RNG = np.random.Generator(np.random.PCG64(77))
 LETTERS = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
@@ -172,8 +174,55 @@ def hit_rows(docs: DataFrame, id_col: str, text_col: str, repeated, varied) -> D
     return map_texts(docs, [order_key(id_col)], text_col, make, "gram long, content long, place int, size int, body binary").withColumnRenamed("_k0", "id")
 
 
-def windows(bodies: DataFrame) -> DataFrame:
-    """(h0, h1, id, place) of each window of the dictionary's phrases (body, id, place)."""
+def opened(body: bytes) -> np.ndarray:
+    """The windows of a dictionary phrase: its suffixes, as far as a window reaches."""
+    return np.lib.stride_tricks.sliding_window_view(np.frombuffer(body, np.uint8), WINDOW)
+
+
+def suffix_ranges(entries: DataFrame) -> DataFrame:
+    """(id, place, size) of the windows that stand earlier too, from the dictionary's phrases (gram, body, id, place) dealt and sorted by gram.
+
+    Equal windows have the same trigger, so they are in phrases that follow each other. The suffixes of some of these are put in order, a
+    suffix array cut off at a window's length, in which equal windows are neighbours; of these the first in corpus order stays.
+    """
+
+    def found(held):
+        bodies, ids, places = zip(*held, strict=True)
+        parts = [opened(b) for b in bodies]
+        sizes = [len(p) for p in parts]
+        text = np.ascontiguousarray(np.concatenate(parts)).view(f"V{WINDOW}").ravel()
+        own = np.repeat(np.array(ids, dtype=np.int64), sizes)
+        place = np.repeat(np.array(places, dtype=np.int64), sizes) + np.concatenate([np.arange(n) for n in sizes])
+        corpus = np.lexsort((place, own))
+        text, own, place = text[corpus].view(f"S{WINDOW}"), own[corpus], place[corpus]
+        array = np.argsort(text, kind="stable")
+        raw = text.view(np.uint8).reshape(-1, WINDOW)[array]
+        again = np.sort(array[1:][(raw[1:] == raw[:-1]).all(1)])
+        own, place = own[again], place[again]
+        if not len(own):
+            return own, place, place
+        start = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (place[1:] != place[:-1] + 1)))
+        return own[start], place[start], np.diff(np.append(start, len(own)))
+
+    def f(batches):
+        held, total, last = [], 0, None
+        names = ["id", "place", "size"]
+        for batch in batches:
+            for row in zip(*[batch.column(c).to_pylist() for c in ("gram", "body", "id", "place")], strict=True):
+                if row[0] != last and total >= OPENED:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found(held), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=names)
+                    held, total = [], 0
+                last = row[0]
+                held.append(row[1:])
+                total += len(row[1]) - WINDOW + 1
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found(held), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=names)
+
+    return entries.select("gram", "body", "id", "place").repartition("gram").sortWithinPartitions("gram").mapInArrow(f, "id long, place int, size int")
+
+
+def window_rows(entries: DataFrame) -> DataFrame:
+    """(h0, h1, id, place): a row for each window of the phrases (body, id, place), by the 128-bit hash of its bytes."""
 
     def f(batches):
         for batch in batches:
@@ -187,14 +236,13 @@ def windows(bodies: DataFrame) -> DataFrame:
             at = pa.array(own, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), batch.column("id").take(at), pa.array(places, pa.int32())], names=["h0", "h1", "id", "place"])
 
-    return bodies.select("body", "id", "place").mapInArrow(f, "h0 long, h1 long, id long, place int")
+    return entries.select("body", "id", "place").mapInArrow(f, "h0 long, h1 long, id long, place int")
 
 
-def later(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The rows that aren't the first of their key in corpus order, by id and place. First rows come from an aggregate with partial results, and
-    rows find theirs by an equi-join that Spark may split, so that a key with very many rows is no task's own."""
-    first = rows.groupBy(*key).agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    return rows.join(first, key).where("id <> first.id or place <> first.place")
+def later(rows: DataFrame, firsts: DataFrame, key: list[str]) -> DataFrame:
+    """The rows that aren't the first of their key in corpus order, by id and place. Rows find their first by an equi-join that Spark may split, so
+    that a key with very many rows is no task's own."""
+    return rows.join(firsts.withColumnsRenamed({"id": "id0", "place": "place0"}), key).where("id <> id0 or place <> place0").drop("id0", "place0")
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,16 +256,22 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     remove(grams)
     release(spark)
     hits = written(hit_rows(docs, id_col, text_col, repeated, varied), "phrases")
-    # whole phrases that stand earlier
-    whole = later(hits.select("gram", "content", "id", "place", "size"), ["gram", "content"]).select("id", "place", "size")
-    # the dictionary: each phrase once, with the place where it stands first; its windows against those of all others
-    entries = hits.groupBy("gram", "content").agg(F.min(F.struct("id", "place")).alias("first"))
-    bodies = hits.where("body is not null").groupBy("gram", "content").agg(F.min("body").alias("body"))
-    table = written(windows(bodies.join(entries, ["gram", "content"]).select("body", "first.id", "first.place")), "windows")
-    parts = later(table, ["h0", "h1"]).select("id", "place", F.lit(1).alias("size"))
+    first = F.min(F.struct("id", "place"))
+    # the dictionary: each phrase once, with the place where it stands first
+    entries = hits.groupBy("gram", "content").agg(first.alias("first"), F.count("*").alias("times"), F.min("body").alias("body"))
+    entries = written(entries.select("gram", "content", "first.id", "first.place", "times", "body"), "dictionary")
+    # phrases that stand earlier as a whole
+    whole = later(hits.select("gram", "content", "id", "place", "size"), entries.where("times > 1").select("gram", "content", "id", "place"), ["gram", "content"]).select("id", "place", "size")
+    # and windows of other phrases with the same trigger; triggers with very many phrases are opened before they are dealt out
+    open_ = entries.where("body is not null").select("gram", "id", "place", "body")
+    many = open_.groupBy("gram").count().where(F.col("count") > CROWDED).select("gram")
+    table = written(window_rows(open_.join(many, "gram")), "windows")
+    firsts = table.groupBy("h0", "h1").agg(first.alias("first"), F.count("*").alias("times")).where("times > 1").select("h0", "h1", "first.id", "first.place")
+    parts = later(table, firsts, ["h0", "h1"]).select("id", "place", F.lit(1).alias("size"))
+    parts = parts.unionByName(suffix_ranges(open_.join(many, "gram", "left_anti")))
     span = (F.shiftleft(F.col("place").cast("long"), 32) + F.col("size") + F.lit(WINDOW - 1)).alias("span")
     out = written(whole.unionByName(parts).groupBy("id").agg(F.collect_list(span).alias("ranges")), "ranges")
-    remove(hits, table)
+    remove(hits, entries, table)
     release(spark)
     return out
 
@@ -231,8 +285,9 @@ def phrase_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The texts are parsed into phrases at the triggers of a rolling hash. A phrase is named by its bytes with all that its windows cover, so equal
     windows lie in phrases with the same trigger. Phrases that stand earlier as a whole are covered as a whole. Of the rest, the dictionary,
-    only phrases with a trigger that other phrases have as well are opened, and their windows put in corpus order, by place in the parse, behind
-    equal ones. For that, windows are ordered by a 128-bit hash of their bytes: equality is all that counts.
+    only phrases with a trigger that other phrases have as well are opened: their suffixes are sorted, and equal ones put in corpus order by
+    their phrases' places in the parse. Where more than CROWDED phrases have a trigger, windows are dealt out by a 128-bit hash of their bytes
+    before they are compared, so that no trigger is one task's own.
     """
     ranges = repeated_ranges(docs, id_col, text_col)
     joined = docs.select(F.col(id_col), F.col(text_col), order_key(id_col).alias("id")).join(ranges.hint("shuffle_hash"), "id", "left")
