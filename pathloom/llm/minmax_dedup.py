@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -14,7 +16,7 @@ from .components import components
 HASHES, ROWS = 64, 4
 BANDS = 2 * HASHES // ROWS
 #: Hash functions of the deep sketch, of which only documents in crowded neighbourhoods get one.
-DEEP = 1024
+DEEP = 2048
 #: Shingles hashed at a time.
 CHUNK = 512
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -158,9 +160,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     any other. Other columns are not read.
 
     Equal sets are one class, and only classes are compared. A band is ROWS minima or ROWS maxima; a pair at the bound shares none of the
-    BANDS bands with probability (1 - 0.8**4)**32 < 10**-7. In each bucket of a band two hubs, the smallest and the greatest member in an order
-    of the band's own, are compared with all others, so a bucket of m classes has fewer than 2 m pairs, and a class has other hubs
-    in other bands. After these links are merged, members of a bucket that aren't with its hub are compared with all that are in other
+    BANDS bands with probability (1 - 0.8**4)**32 < 10**-7. In each bucket of a band a hub, the first member in an order that all bands share, is
+    compared with all others, so a bucket of m classes has fewer than m pairs, and the bands of a large group have the same few hubs. What isn't
+    in its hub's component then is compared with a second one, the first member in an order of the band's own. After these links are merged, members of a bucket that aren't with its hub are compared with all that are in other
     components than theirs, so no link between components goes unseen: no bucket is capped. These comparisons are made within the join, on deep
     sketches of 2 * DEEP bits, and a pair that shares several buckets in the first of them; only what the sketches leave open is compared whole.
     """
@@ -171,35 +173,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a row for each class: that of its smallest id
     nodes = rows.where("n > 0").join(classes.select(F.col("node").alias("id"), "set_key"), ["id", "set_key"], "left_semi").dropDuplicates(["id"])
     nodes = written(nodes.select(F.col("id").alias("node"), "n", "bits0", "bits1", "bands"), "classes")
-    buckets = nodes.select("node", F.explode("bands").alias("band"))
-    turn = F.xxhash64("band", "node")
-    ends = buckets.groupBy("band").agg(F.min(F.struct(turn, "node"))["node"].alias("first"), F.max(F.struct(turn, "node"))["node"].alias("last"))
-    ends = ends.where("first <> last")
-    found = buckets.join(ends, "band").select("node", F.explode(F.array("first", "last")).alias("hub")).where("node <> hub")
-    slim = nodes.select("node", "n", "bits0", "bits1")
-
-    def promising(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        x, y = slim.select(F.col("node").alias("a"), F.struct("n", "bits0", "bits1").alias("x")), slim.select(F.col("node").alias("b"), F.struct("n", "bits0", "bits1").alias("y"))
-        return pairs.join(x, "a").join(y, "b").where(likely("x", "y", percent)).select("a", "b")
-
-    pairs = written(promising(found), "pairs")
     texts = docs.select(F.col(id_col), F.col(text_col), order_key(id_col).alias("node"))
 
     def sets_of(wanted: DataFrame, deep: bool = False) -> DataFrame:
         return written(whole_sets(texts.join(wanted.distinct().hint("shuffle_hash"), "node", "left_semi"), id_col, text_col, k, deep).dropDuplicates(["id"]), "sets")
 
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    links = written(confirmed(pairs, sets, percent), "links")
-    remove(sets)
-    release(spark)
-    labels = written(components(links), "labels")
-    # buckets whose members are still in several components
     label = F.coalesce(F.col("label"), F.col("node")).alias("label")
-    placed = written(nodes.join(labels, "node", "left").select("node", label, "n", "bits0", "bits1", "bands"), "placed")
+    placed = nodes.withColumn("label", F.col("node"))
+    pairs, links = [], []
+    for order in (F.xxhash64("x.node"), F.xxhash64("band", "x.node")):
+        buckets = placed.select(F.explode("bands").alias("band"), F.struct("node", "label", "n", "bits0", "bits1").alias("x"))
+        ends = buckets.groupBy("band").agg(F.min_by("x", order).alias("y"), F.min("x.label").alias("low"), F.max("x.label").alias("high")).where("low <> high")
+        found = buckets.join(ends.select("band", "y"), "band").where((F.col("x.label") != F.col("y.label")) & likely("x", "y", percent))
+        pairs.append(written(found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs"))
+        sets = sets_of(pairs[-1].select(F.explode(F.array("a", "b")).alias("node")))
+        links.append(written(confirmed(pairs[-1], sets, percent), "links"))
+        remove(sets)
+        labels = written(components(reduce(DataFrame.unionByName, links)), "labels")
+        # nodes, each with the smallest node that it is known to reach
+        placed = written(nodes.join(labels, "node", "left").select("node", label, "n", "bits0", "bits1", "bands"), "placed")
+        release(spark)
+    turn = F.xxhash64("band", "node")
+    # buckets whose members are still in several components
     spread = placed.select("node", "label", F.explode("bands").alias("band"))
     hubs = spread.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(turn, "label"))["label"].alias("main")).where("low <> high").select("band", "main")
-    full = placed.select("node", "label", "n", "bits0", "bits1", F.explode("bands").alias("band")).join(hubs, "band")
+    full = written(placed.select("node", "label", "n", "bits0", "bits1", F.explode("bands").alias("band")).join(hubs, "band"), "crowded")
+    release(spark)
     apart = full.where("label <> main")
     meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & likely("x", "y", percent)
     crowd = apart.alias("x").join(full.alias("y"), meet, "left_semi").select("node").union(full.alias("x").join(apart.alias("y"), meet, "left_semi").select("node"))
@@ -211,13 +210,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nearer = F.expr(f"{differ} <= {may_differ(2 * DEEP, percent, 5.2)}")
     once = F.col("x.band") == F.array_min(F.array_intersect("x.bands", "y.bands"))
     rest = apart.alias("x").join(full.alias("y"), meet & nearer & once).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    rest = written(rest.join(reduce(DataFrame.unionByName, pairs), ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         found = written(confirmed(rest, sets, percent), "links")
         if not found.isEmpty():
-            labels = written(components(links.unionByName(found)), "labels")
+            labels = written(components(reduce(DataFrame.unionByName, [*links, found])), "labels")
     remove(sets)
-    release(spark)
     whole = member.join(labels, "node", "left").select("id", label).groupBy("id").agg(F.min("label").alias("label"))
     own = F.coalesce("label", "id")
     real = lambda c: F.when(c != NULL_KEY, c)

@@ -21,7 +21,7 @@ SEGMENT = 1 << 20
 #: Bits of the filter for repeated triggers: a fixed 8 MB. Where so many repeat that it is full, it lets all pass; the result is the same.
 FILTER_BITS = 1 << 26
 #: Windows put in order at a time, at least, and phrases with one trigger beyond which they are opened before they are dealt out.
-OPENED, CROWDED = 20_000, 500
+OPENED, CROWDED = 20_000, 4_000
 _RNG = np.random.Generator(np.random.PCG64(77))
 LETTERS = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
