@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import clean, days, decode, locate, segment
 from ..operators import episodes as ep
 from ..params import Params
+from .tables import written
 
 
 def diary(points: DataFrame, places: DataFrame, p: Params | None = None, stations: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -16,23 +17,23 @@ def diary(points: DataFrame, places: DataFrame, p: Params | None = None, station
     Users without points left, without locations or without named places have no or fewer rows, and raise nothing.
     """
     p = p or Params()
-    cleaned = clean.clean_users(clean.min_points_gate(points.where("lon is not null and lat is not null"), p), p)
+    cleaned = written(clean.clean_users(clean.min_points_gate(points.where("lon is not null and lat is not null"), p), p), "cleaned")
     kept = cleaned.where("removed_by is null").drop("removed_by")
     known = segment.known_segments(segment.gap_segments(kept, p, stations), p)
     plane = segment.with_plane(known.where("known_subset is not null"))
-    filled = segment.time_weights(segment.interpolated(plane, segment.spatial_points(plane, p)), p)
-    density = locate.kde(filled, p)
+    filled = written(segment.time_weights(segment.interpolated(plane, segment.spatial_points(plane, p)), p), "filled")
+    density = written(locate.kde(filled, p), "density")
     # errors count of all points kept, also of those in segments that aren't known
     limits = locate.rms_accuracy(kept).join(filled.groupBy("user_id").agg(F.sum("weight").alias("total")), "user_id")
     limits = limits.select("user_id", locate.peak_threshold(F.col("rms"), F.col("total"), p).alias("threshold"))
     order = filled.groupBy("user_id", "lon", "lat").agg(F.min(F.struct("known_subset", "t", "synthetic", "ord", "j")).alias("first"))
     found = locate.peaks(density.join(limits, "user_id"), p).join(order, ["user_id", "lon", "lat"])
-    locations = locate.numbered(found, ["first"]).select("user_id", "location_id", "lon", "lat")
+    locations = written(locate.numbered(found, ["first"]).select("user_id", "location_id", "lon", "lat"), "locations")
     names = locate.location_names(locate.nearest_named(places, locations, p))
     dense = segment.interpolated(filled, segment.temporal_points(filled, p)).fillna({"weight": 0.0})
-    states = decode.states(decode.travel_emission(dense), locations, p)
+    states = written(decode.states(decode.travel_emission(dense), locations, p), "states")
     typed = ep.with_types(ep.state_changes(states), names)
-    stays = ep.without_short_stops(typed, p)
+    stays = written(ep.without_short_stops(typed, p), "episodes")
     return {
         "locations": location_table(locations, names, states, stays),
         "episodes": stays,
