@@ -78,6 +78,10 @@ Au bord de la Seine , de la di der von .
 La ciudad de Lima es de la costa de Peru .
 He was from der Stadt van der Meer .
 No. 5 is the first of no Number .
+from 10.0.0.1 to 10.2.3.44 at 4111 1111 1111 1111
+a@b.example , +1 (555) 010-9999 , 10.0.0.1 , 4000 1234 5678 9010
+room 4521 8000 on 123-45-6789 or 12345678901
+the code 4716320949013 was new , 77.13.2.9 too .
 A A A A A A A A
 end. A A A A A A
 ich. Ö Ö Ö Ö Ö Ö
