@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import held, map_texts
 
 # The white space of the splitting pattern, and the pattern itself.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -178,14 +178,9 @@ class ByteBPE:
         return out
 
 
-_LOADED: dict[str, ByteBPE] = {}
-
-
 def loaded(path: str) -> ByteBPE:
     """This worker's vocabulary with its memory; it outlives the task."""
-    if path not in _LOADED:
-        _LOADED[path] = ByteBPE(path)
-    return _LOADED[path]
+    return held(("byte bpe", path), lambda: ByteBPE(path))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:

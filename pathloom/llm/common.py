@@ -66,6 +66,20 @@ def order_key(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY))
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, load: Callable[[], object]) -> object:
+    """What this worker remembers under a key. It outlives the task, until an operator asks for something else: workers run the tasks of all
+    stages, and only one operator's memory is kept at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _HELD[key] = load()
+    return _HELD[key]
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
     """The batches' rows in order, cut so that the texts of a block hold BLOCK_BYTES or are a single one."""
     for batch in batches:
@@ -93,15 +107,19 @@ def map_texts(docs: DataFrame, keys: list[Column], text_col: str, make: Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a block's objects have no cycles; visiting all that a worker remembers again and again would cost a fifth of its time
         gc.disable()
-        f = make()
-        for block in blocks(batches, n):
-            heads = [block.column(i) for i in range(n)]
-            columns, rows = f(heads, block.column(n).to_pylist())
-            if rows is not None:
-                at = pa.array(rows, pa.int64())
-                heads = [h.take(at) for h in heads]
-            own = [pa.array(c, type=t.type) if not isinstance(c, pa.Array) else c for c, t in zip(columns, fields[n:], strict=True)]
-            yield pa.RecordBatch.from_arrays(heads + own, names=names)
+        try:
+            f = make()
+            for block in blocks(batches, n):
+                heads = [block.column(i) for i in range(n)]
+                columns, rows = f(heads, block.column(n).to_pylist())
+                if rows is not None:
+                    at = pa.array(rows, pa.int64())
+                    heads = [h.take(at) for h in heads]
+                own = [pa.array(c, type=t.type) if not isinstance(c, pa.Array) else c for c, t in zip(columns, fields[n:], strict=True)]
+                yield pa.RecordBatch.from_arrays(heads + own, names=names)
+        finally:
+            # the worker is used again, and what a task's functions leave behind does have cycles
+            gc.enable()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string

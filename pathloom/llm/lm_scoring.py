@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, map_texts
+from .common import blocks, held, map_texts
 
 #: Words are hashed to BUCKETS tokens, and tokens fall into CLASSES of about equal mass; the network has HIDDEN units.
 BUCKETS, CLASSES, HIDDEN = 1 << 15, 64, 16
@@ -29,14 +29,12 @@ class Buckets(dict):
         return b
 
 
-_MEMORY = Buckets()
-
-
 def tokens(text: bytes | None) -> np.ndarray:
-    if len(_MEMORY) > REMEMBERED:
-        _MEMORY.clear()
+    buckets = held(("buckets",), Buckets)
+    if len(buckets) > REMEMBERED:
+        buckets.clear()
     words = (text or b"").lower().split()
-    return np.fromiter(map(_MEMORY.__getitem__, words), np.int64, len(words))
+    return np.fromiter(map(buckets.__getitem__, words), np.int64, len(words))
 
 
 @dataclass

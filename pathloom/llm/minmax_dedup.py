@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, map_texts, order_key, release, remove, written
+from .common import NULL_KEY, held, map_texts, order_key, release, remove, written
 from .components import components
 
 #: Hash functions, of which both ends count: 2 * HASHES values a document. ROWS values are a band, of minima or maxima alone.
@@ -86,7 +86,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(id, n, set_key, bits0, bits1, bands) for each row: the set's size, its 128-bit digest, the sketch and the band hashes."""
 
     def make():
-        memory = Hashes()
+        memory = held(("hashes",), Hashes)
 
         def f(_, texts):
             columns = [[] for _ in range(5)]
@@ -114,7 +114,7 @@ def whole_sets(docs: DataFrame, id_col: str, text_col: str, k: int, deep: bool)
     """(id, members, deep): a set's 64-bit hashes, sorted, as bytes, and its deep sketch if asked for."""
 
     def make():
-        memory = Hashes()
+        memory = held(("hashes",), Hashes)
 
         def f(_, texts):
             found = [shingles(t, k, memory) for t in texts]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import map_texts, written
+from .common import held, map_texts, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -94,14 +94,9 @@ class WordIds:
             known[c] = b"".join([known[w] for w in p])
 
 
-_MEMORY: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
     """This worker's memory for a vocabulary; it outlives the task."""
-    if path not in _MEMORY:
-        _MEMORY[path] = WordIds(path)
-    return _MEMORY[path]
+    return held(("word ids", path), lambda: WordIds(path))
 
 
 def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import held, map_texts
 
 LABELS = ("O", "B-NAME", "I-NAME", "B-ID", "I-ID")
 #: Words that a worker remembers; beyond it the memory starts afresh.
@@ -326,15 +326,14 @@ def patterns(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-_FIELDS: dict[str, tuple[Field, Classes]] = {}
-
-
 def loaded(table: str) -> tuple[Field, Classes]:
     """This worker's field, trained once from the table (the same everywhere: no random numbers), with its memory of words."""
-    if table not in _FIELDS:
+
+    def train() -> tuple[Field, Classes]:
         field = Field(list(labelled(table)))
-        _FIELDS[table] = (field, Classes(field))
-    field, classes = _FIELDS[table]
+        return field, Classes(field)
+
+    field, classes = held(("field", table), train)
     if len(classes) > REMEMBERED:
         classes.clear()
     return field, classes

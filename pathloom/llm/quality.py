@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import held, map_texts
 
 SYMBOLS = b"#*$%&|<>"
 #: Words that a worker remembers; beyond it the memory starts afresh.
@@ -145,9 +145,6 @@ class Memory:
         return n, int((fallback[numbers] * times).sum()), float(np.log2(n) - (counts * np.log2(counts)).sum() / n)
 
 
-_LOADED: dict[tuple[str, ...], Memory] = {}
-
-
 def repeated(hashes: np.ndarray, window: int = WINDOW) -> int:
     """Words inside windows that are found twice or more, the first ones included."""
     m = len(hashes) - window + 1
@@ -194,9 +191,7 @@ def quality(docs: DataFrame, vocabularies: tuple[str, ...], id_col: str = "doc_i
     schema = f"n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, rejected_by string, {own}"
 
     def make():
-        if vocabularies not in _LOADED:
-            _LOADED[vocabularies] = Memory(vocabularies)
-        memory = _LOADED[vocabularies]
+        memory = held(("fertility", vocabularies), lambda: Memory(vocabularies))
 
         def f(heads, texts):
             texts = [t or b"" for t in texts]
