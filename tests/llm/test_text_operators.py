@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.llm import byte_bpe, common, exact_dedup, line_dedup, lm_scoring, minmax_dedup, packing, phrase_dedup, pii_crf, quality, secret_scan
+from pathloom.llm.queries import FERTILITY
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, n_words long, label long"
 BASE = " ".join(f"word{i} Thing{i % 7}" for i in range(60))
@@ -193,6 +194,30 @@ def test_quality(docs):
     assert got[5].n_dup_lines == 1 and got[5].base_failed
 
 
+PROSE = """The old man walked slowly down to the harbour, where his brother had left the boat some years before, and looked at the water for a long
+time without saying a word. Nobody in the village could remember when the lighthouse was last painted, but everyone agreed that it ought to be done
+before winter came and the storms made such work impossible."""
+
+
+def test_quality_finds_signs_between_words_and_words_said_again(spark):
+    piped = " | ".join(PROSE.split())
+    said = " ".join(w for w in PROSE.split()[:8] for _ in range(7))
+    rows = [(0, PROSE, "en"), (1, piped, "en"), (2, said, "en"), (3, piped, None)]
+    got = by_id(quality.quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), tuple(map(public_tokenizers.path, FERTILITY))))
+    assert [got[i].base_failed for i in range(4)] == [False] * 4
+    assert [got[i].kept for i in range(4)] == [True, False, False, False]
+    assert all(got[i].rejected_by.startswith("entropy") for i in (1, 2, 3))
+
+
+def test_bounds_of_each_measure():
+    for lang in ("en", "de", "fr", "es", "latin"):
+        for k, band in enumerate(quality.BANDS[lang]):
+            assert band.broken(400, (2.3, 0.0, 6.6)) is None
+            assert band.broken(400, (2.3, 0.14, 6.6)) == "fallback share"
+            assert band.broken(400, (2.3, 0.0, (3.2, 5.6)[k])) == "entropy"
+            assert band.broken(60, (2.3, 0.0, 5.3)) is None
+
+
 def test_components_of_a_long_chain(spark):
     from pathloom.llm.components import components
 
