@@ -194,12 +194,12 @@ def script_of(text: bytes) -> str:
     return SCRIPT_NAMES[1 + int(counts.argmax())] if counts.any() else "other"
 
 
-def quality(docs: DataFrame, vocabularies: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", bands: dict[str, tuple[Band, ...]] | None = None, min_words: int = 20, max_repeat_percent: int = 30, band_words: int = 40, carry: tuple[str, ...] = ()) -> DataFrame:
+def quality(docs: DataFrame, vocabularies: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", bands: dict[str, tuple[Band, ...]] | None = None, min_words: int = 20, max_repeat_percent: int = 30, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, script, and for the k-th
     vocabulary chars_per_token_k, fallback_share_k and entropy_k; rejected_by names the first bound that a text breaks.
 
     Words are what stands between ASCII white space; each is encoded by itself, and characters are those of words. Null and empty texts have no
-    words: they fail the base rule, and their measures are null. Bands hold from band_words words on, as rates over fewer say little. Language null or unknown: the script's bands hold. Rows that repeat are judged
+    words: they fail the base rule, and their measures are null. Bands hold for every text with tokens. Language null or unknown: the script's bands hold. Rows that repeat are judged
     each. The columns named in carry come along as they are, in a struct named carried. A map over rows: nothing is shuffled, and other columns are not read. SentencePiece vocabularies end in .model, files of ranks don't.
     """
     bands = bands or BANDS
@@ -225,7 +225,7 @@ def quality(docs: DataFrame, vocabularies: tuple[str, ...], id_col: str = "doc_i
                     band = own[min(k, len(own) - 1)]
                     tokens, falls, bits = memory.measure(k, unique, times)
                     got = (chars / tokens, falls / tokens, bits) if tokens else (None, None, None)
-                    if tokens and n >= band_words:
+                    if tokens:
                         what = band.broken(tokens, got)
                         why = why or what and f"{what} of vocabulary {k}"
                     measures += got

@@ -209,6 +209,13 @@ def test_quality_finds_signs_between_words_and_words_said_again(spark):
     assert all(got[i].rejected_by.startswith("entropy") for i in (1, 2, 3))
 
 
+def test_quality_judges_short_texts(spark):
+    junk = " ".join(w + sign * 3 for w, sign in zip(PROSE.split()[:27], "%*&#%&*#%" * 3, strict=True))
+    rows = [(0, junk, "en"), (1, " ".join(PROSE.split()[:27]), "en")]
+    got = by_id(quality.quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), tuple(map(public_tokenizers.path, FERTILITY))))
+    assert [(got[i].n_words, got[i].base_failed, got[i].kept) for i in range(2)] == [(27, False, False), (27, False, True)]
+
+
 def test_bounds_of_each_measure():
     for lang in ("en", "de", "fr", "es", "latin"):
         for k, band in enumerate(quality.BANDS[lang]):
