@@ -3,55 +3,89 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
-from .common import blocks, held, map_texts
+from .common import blocks, written
 
-#: Words are hashed to BUCKETS tokens, and tokens fall into CLASSES of about equal mass; the network has HIDDEN units.
-BUCKETS, CLASSES, HIDDEN = 1 << 15, 64, 16
+#: Words fall into CLASSES of about equal mass by how often they are found; the network has HIDDEN units.
+CLASSES, HIDDEN = 64, 16
 OFFSETS = (-2, -1, 1, 2)
-#: Tokens of a training step, and what a token counts that was never seen.
-BATCH, SMOOTH = 4096, 0.5
-REMEMBERED = 500_000
+#: Tokens of a training step.
+BATCH = 4096
 
 
-class Buckets(dict):
-    """Lower-cased words to their tokens."""
+class Numbers(dict):
+    """Words numbered as they come."""
 
     def __missing__(self, word: bytes) -> int:
-        b = self[word] = xxhash.xxh3_64_intdigest(word) % BUCKETS
-        return b
+        n = self[word] = len(self)
+        return n
 
 
-def tokens(text: bytes | None) -> np.ndarray:
-    buckets = held(("buckets",), Buckets)
-    if len(buckets) > REMEMBERED:
-        buckets.clear()
-    words = (text or b"").lower().split()
-    return np.fromiter(map(buckets.__getitem__, words), np.int64, len(words))
+def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Blocks of documents: their ids, numbers of words, the words as places in the block's own list of words, that list, and its counts. Words are
+    what stands between ASCII white space, in lower case."""
+    inner = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    schema = StructType().add("block", LongType()).add("ids", ArrayType(inner.schema["id"].dataType)).add("sizes", ArrayType(IntegerType())).add("codes", BinaryType()).add("words", ArrayType(BinaryType())).add("counts", ArrayType(LongType()))
+    fields = to_arrow_schema(schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
+        for block in blocks(batches, 1):
+            numbers = Numbers()
+            texts = [(t or b"").lower().split() for t in block.column(1).to_pylist()]
+            sizes = [len(t) for t in texts]
+            codes = np.fromiter((numbers[w] for t in texts for w in t), np.int32, sum(sizes))
+            row = [at, block.column(0).to_pylist(), sizes, codes.tobytes(), list(numbers), np.bincount(codes, minlength=len(numbers)).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, fields, strict=True)], schema=fields)
+            at += 1
 
-@dataclass
-class Vocabulary:
-    """The class of each token and the logarithm of its share of the class, from counts over all documents."""
+    return inner.mapInArrow(run, schema)
 
-    of: np.ndarray
-    share: np.ndarray
 
-    @classmethod
-    def of_counts(cls, counts: np.ndarray) -> Vocabulary:
-        counts = counts + SMOOTH
-        order = np.argsort(-counts, kind="stable")
-        mass = np.cumsum(counts[order])
-        of = np.empty(len(counts), dtype=np.int64)
-        of[order] = np.minimum((CLASSES * (mass - counts[order] / 2) / mass[-1]).astype(np.int64), CLASSES - 1)
-        return cls(of, np.log(counts / np.bincount(of, weights=counts, minlength=CLASSES)[of]))
+def bands(histogram: list[tuple[int, int]]) -> tuple[list[int], list[float]]:
+    """From (count, words with it): the least count of each class that is used, downwards, and the logarithm of its mass."""
+    lows, masses = {}, {}
+    total, done = sum(n * m for n, m in histogram), 0
+    for n, m in sorted(histogram, reverse=True):
+        c = min(int(CLASSES * (done + n * m / 2) / total), CLASSES - 1)
+        done += n * m
+        lows[c], masses[c] = n, masses.get(c, 0) + n * m
+    return list(lows.values()), [float(np.log(x)) for x in masses.values()]
+
+
+def classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The blocks with the class of each word of their lists and the logarithm of its share of the class, as a table in the shared folder.
+
+    The vocabulary, every word with its count over all documents, is a table there too: it grows with the documents, no two words share an entry,
+    and it meets the blocks' lists in a join on the word. The driver is given how many words have each count."""
+    parts = written(coded(docs, id_col, text_col), "blocks")
+    lists = parts.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+    vocabulary = written(lists.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
+    lows, masses = bands([(r.n, r.m) for r in vocabulary.groupBy("n").agg(F.count("*").alias("m")).collect()])
+    of: Column = F.coalesce(*[F.when(F.col("n") >= low, F.lit(c)) for c, low in enumerate(lows)], F.lit(0))
+    share = F.log("n") - F.element_at(F.array(*[F.lit(x) for x in masses or [0.0]]), of + 1)
+    known = vocabulary.select("word", of.alias("of"), share.alias("share"))
+    own = lists.drop("n").join(known.hint("shuffle_hash"), "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "of", "share"))).alias("x"))
+    return written(parts.drop("words", "counts").join(own, "block", "left").select("ids", "sizes", "codes", F.col("x.of").alias("of"), F.col("x.share").alias("share")), "classed")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(ids, codes of each text, classes, shares) of each block."""
+    for batch in batches:
+        ids, sizes, codes, of, share = (batch.column(i) for i in range(5))
+        for k in range(batch.num_rows):
+            ends = np.cumsum(sizes[k].values.to_numpy())
+            texts = np.split(np.frombuffer(codes[k].as_py(), np.int32), ends[:-1])
+            values = (x[k].values.to_numpy() if x[k].is_valid else np.empty(0) for x in (of, share))
+            yield ids[k].values, texts, next(values).astype(np.int64), next(values)
 
 
 class Network:
@@ -106,41 +140,20 @@ def contexts(texts: list[np.ndarray], of: np.ndarray) -> tuple[np.ndarray, np.nd
     return flat[at[:, None] + np.array(OFFSETS)], flat[at]
 
 
-def over_tasks(docs: DataFrame, text_col: str, make: Callable, schema: str) -> DataFrame:
-    """Rows that a task returns once it has seen all its texts: make() gives (see, end)."""
-    inner = docs.select(F.col(text_col).cast("string").cast("binary").alias("text"))
+def over_tasks(parts: DataFrame, make: Callable, schema: str) -> DataFrame:
+    """Rows that a task returns once it has seen all its blocks: make() gives (see, end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         see, end = make()
-        for block in blocks(batches, 0):
-            see([tokens(t) for t in block.column(0).to_pylist()])
+        for _, texts, of, _ in unpacked(batches):
+            see(texts, of)
         names, columns = zip(*end().items(), strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(names))
 
-    return inner.mapInArrow(run, schema)
-
-
-def count_tokens(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """How often each token is found in all documents: each task counts its own, and the sums are BUCKETS numbers at most."""
-
-    def make():
-        counts = np.zeros(BUCKETS, dtype=np.int64)
+    return parts.mapInArrow(run, schema)
 
-        def see(texts):
-            for t in texts:
-                counts[:] += np.bincount(t, minlength=BUCKETS) if len(t) > 2000 else 0
-                if len(t) <= 2000:
-                    np.add.at(counts, t, 1)
 
-        return see, lambda: {"token": np.flatnonzero(counts), "n": counts[counts > 0]}
-
-    got = over_tasks(docs, text_col, make, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, dtype=np.float64)
-    out[got.column("token").to_numpy()] = got.column("n").to_numpy()
-    return out
-
-
-def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", rounds: int = 1, rate: float = 0.05) -> Network:
+def train(parts: DataFrame, rounds: int = 1, rate: float = 0.05) -> Network:
     """The network after so many rounds over all documents. In a round each task goes on from the common weights over its own texts, and the
     new common weights are the tasks' means by their number of tokens: sums by weight, as many as the network has."""
     network = Network()
@@ -151,15 +164,15 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", round
             own = Network(begin.copy())
             seen = [0]
 
-            def see(texts):
-                around, gold = contexts(texts, vocabulary.of)
+            def see(texts, of):
+                around, gold = contexts(texts, of)
                 for at in range(0, len(gold), BATCH):
                     own.step(around[at : at + BATCH], gold[at : at + BATCH], rate)
                 seen[0] += len(gold)
 
             return see, lambda: {"weight": np.arange(len(begin) + 1), "value": np.append(own.values.astype(np.float64), 1.0) * seen[0]}
 
-        got = over_tasks(docs, text_col, make, "weight long, value double").groupBy("weight").agg(F.sum("value").alias("value")).toArrow()
+        got = over_tasks(parts, make, "weight long, value double").groupBy("weight").agg(F.sum("value").alias("value")).toArrow()
         if not len(got):
             break
         values = np.zeros(len(begin) + 1)
@@ -170,35 +183,33 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", round
     return network
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_tokens, log_likelihood (the sum of every token's log-probability given both sides) and per_token."""
+def score(parts: DataFrame, network: Network, id_col: str = "doc_id") -> DataFrame:
+    """One row per document: id, n_tokens, log_likelihood (the sum of every token's log-probability given both sides) and per_token."""
     values = network.values
+    schema = StructType().add(id_col, parts.schema["ids"].dataType.elementType).add("n_tokens", "long").add("log_likelihood", "double").add("per_token", "double")
+    fields = to_arrow_schema(schema)
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(values)
-
-        def f(_, texts):
-            texts = [tokens(t) for t in texts]
-            around, gold = contexts(texts, vocabulary.of)
-            flat = np.concatenate(texts) if texts else np.empty(0, np.int64)
-            logs = vocabulary.share[flat]
+        for ids, texts, of, share in unpacked(batches):
+            around, gold = contexts(texts, of)
+            logs = share[np.concatenate(texts)] if len(gold) else np.empty(0)
             for at in range(0, len(gold), BATCH):
                 z = net.forward(around[at : at + BATCH])[1]
                 logs[at : at + BATCH] += z[np.arange(len(z)), gold[at : at + BATCH]]
             sizes = np.array([len(t) for t in texts])
             sums = np.diff(np.append(0.0, np.cumsum(logs))[np.append(0, np.cumsum(sizes))])
-            return [sizes, sums, [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]], None
-
-        return f
+            columns = [ids, sizes, sums, [x / n if n else None for x, n in zip(sums.tolist(), sizes.tolist(), strict=True)]]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
-    return map_texts(docs, [F.col(id_col)], text_col, make, "n_tokens long, log_likelihood double, per_token double").withColumnRenamed("_k0", id_col)
+    return parts.mapInArrow(run, schema)
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
     """Score every document under a network trained on all of them; see score().
 
     Null and empty texts have no tokens, likelihood 0 and no mean. Rows that repeat count as often as they stand. An empty table gives an empty
-    result. Other columns are not read. What reaches the driver is one number a token and one a weight, whatever the number of documents.
+    result. Other columns are not read. What reaches the driver is one number for each count that words have and one a weight.
     """
-    vocabulary = Vocabulary.of_counts(count_tokens(docs, text_col))
-    return score(docs, vocabulary, train(docs, vocabulary, text_col, rounds), id_col, text_col)
+    parts = classed(docs, id_col, text_col)
+    return score(parts, train(parts, rounds), id_col)

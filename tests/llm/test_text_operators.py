@@ -187,6 +187,19 @@ def test_pseudo_likelihood_prefers_what_it_has_seen(spark):
     assert (got[100].n_tokens, got[100].log_likelihood, got[100].per_token) == (0, 0.0, None)
 
 
+def test_pseudo_likelihood_tells_every_word_apart(spark):
+    import itertools
+
+    import xxhash
+
+    hashed = lambda w: xxhash.xxh3_64_intdigest(w.encode()) % (1 << 15)
+    rare = next(w for i in itertools.count() if hashed(w := f"rare{i}") == hashed("the"))
+    rows = [(i, "the cat sat on the mat and the dog ran to the door " * 20) for i in range(30)] + [(50, "so the end"), (51, f"so {rare} end"), (52, "")]
+    got = by_id(lm_scoring.pseudo_likelihood(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert len(got) == 33 and [got[i].n_tokens for i in (0, 50, 51, 52)] == [260, 3, 3, 0]
+    assert got[50].log_likelihood > got[51].log_likelihood + 1
+
+
 def test_quality(docs):
     got = by_id(quality.quality(docs, (public_tokenizers.path("piece_bpe_32k.model"),)))
     assert (got[0].base_failed, got[0].n_words, got[0].chars_per_token_0) == (True, 0, None)
