@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
-from .common import blocks, written
+from .common import blocks, release, remove, written
 
 #: Words fall into CLASSES of about equal mass by how often they are found; the network has HIDDEN units.
 CLASSES, HIDDEN = 64, 16
@@ -43,7 +44,7 @@ def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             texts = [(t or b"").lower().split() for t in block.column(1).to_pylist()]
             sizes = [len(t) for t in texts]
             codes = np.fromiter((numbers[w] for t in texts for w in t), np.int32, sum(sizes))
-            row = [at, block.column(0).to_pylist(), sizes, codes.tobytes(), list(numbers), np.bincount(codes, minlength=len(numbers)).tolist()]
+            row = [at, block.column(0).to_pylist(), sizes, zlib.compress(codes.tobytes(), 1), list(numbers), np.bincount(codes, minlength=len(numbers)).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, fields, strict=True)], schema=fields)
             at += 1
 
@@ -69,12 +70,16 @@ def classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     parts = written(coded(docs, id_col, text_col), "blocks")
     lists = parts.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     vocabulary = written(lists.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
+    release(docs.sparkSession)
     lows, masses = bands([(r.n, r.m) for r in vocabulary.groupBy("n").agg(F.count("*").alias("m")).collect()])
     of: Column = F.coalesce(*[F.when(F.col("n") >= low, F.lit(c)) for c, low in enumerate(lows)], F.lit(0))
     share = F.log("n") - F.element_at(F.array(*[F.lit(x) for x in masses or [0.0]]), of + 1)
     known = vocabulary.select("word", of.alias("of"), share.alias("share"))
     own = lists.drop("n").join(known.hint("shuffle_hash"), "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "of", "share"))).alias("x"))
-    return written(parts.drop("words", "counts").join(own, "block", "left").select("ids", "sizes", "codes", F.col("x.of").alias("of"), F.col("x.share").alias("share")), "classed")
+    out = written(parts.drop("words", "counts").join(own, "block", "left").select("ids", "sizes", "codes", F.col("x.of").alias("of"), F.col("x.share").alias("share")), "classed")
+    remove(parts)
+    release(docs.sparkSession)
+    return out
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray], np.ndarray, np.ndarray]]:
@@ -83,7 +88,7 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list
         ids, sizes, codes, of, share = (batch.column(i) for i in range(5))
         for k in range(batch.num_rows):
             ends = np.cumsum(sizes[k].values.to_numpy())
-            texts = np.split(np.frombuffer(codes[k].as_py(), np.int32), ends[:-1])
+            texts = np.split(np.frombuffer(zlib.decompress(codes[k].as_py()), np.int32), ends[:-1])
             values = (x[k].values.to_numpy() if x[k].is_valid else np.empty(0) for x in (of, share))
             yield ids[k].values, texts, next(values).astype(np.int64), next(values)
 
