@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
@@ -20,6 +20,8 @@ CLASSES, HIDDEN = 64, 16
 OFFSETS = (-2, -1, 1, 2)
 #: Tokens of a training step.
 BATCH = 4096
+#: A place and a count in one number: place * COUNTS + count.
+COUNTS = 1 << 36
 
 
 class Numbers(dict):
@@ -62,8 +64,9 @@ def bands(histogram: list[tuple[int, int]]) -> tuple[list[int], list[float]]:
     return list(lows.values()), [float(np.log(x)) for x in masses.values()]
 
 
-def classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The blocks with the class of each word of their lists and the logarithm of its share of the class, as a table in the shared folder.
+def classed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """The blocks with the count over all documents of each word of their lists, its place before it in one number, as a table in the shared
+    folder; and the classes' least counts and masses.
 
     The vocabulary, every word with its count over all documents, is a table there too: it grows with the documents, no two words share an entry,
     and it meets the blocks' lists in a join on the word. The driver is given how many words have each count."""
@@ -72,25 +75,24 @@ def classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     vocabulary = written(lists.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
     release(docs.sparkSession)
     lows, masses = bands([(r.n, r.m) for r in vocabulary.groupBy("n").agg(F.count("*").alias("m")).collect()])
-    of: Column = F.coalesce(*[F.when(F.col("n") >= low, F.lit(c)) for c, low in enumerate(lows)], F.lit(0))
-    share = F.log("n") - F.element_at(F.array(*[F.lit(x) for x in masses or [0.0]]), of + 1)
-    known = vocabulary.select("word", of.alias("of"), share.alias("share"))
-    own = lists.drop("n").join(known.hint("shuffle_hash"), "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "of", "share"))).alias("x"))
-    out = written(parts.drop("words", "counts").join(own, "block", "left").select("ids", "sizes", "codes", F.col("x.of").alias("of"), F.col("x.share").alias("share")), "classed")
+    own = lists.drop("n").join(vocabulary.hint("shuffle_hash"), "word").groupBy("block").agg(F.sort_array(F.collect_list(F.col("at").cast("long") * COUNTS + F.col("n"))).alias("known"))
+    out = written(parts.drop("words", "counts").join(own, "block", "left").select("ids", "sizes", "codes", "known"), "classed")
     remove(parts)
     release(docs.sparkSession)
-    return out
+    return out, (np.array(lows), np.array(masses))
 
 
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray], np.ndarray, np.ndarray]]:
+def unpacked(batches: Iterator[pa.RecordBatch], classes: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[pa.Array, list[np.ndarray], np.ndarray, np.ndarray]]:
     """(ids, codes of each text, classes, shares) of each block."""
+    lows, masses = classes
     for batch in batches:
-        ids, sizes, codes, of, share = (batch.column(i) for i in range(5))
+        ids, sizes, codes, known = (batch.column(i) for i in range(4))
         for k in range(batch.num_rows):
             ends = np.cumsum(sizes[k].values.to_numpy())
             texts = np.split(np.frombuffer(zlib.decompress(codes[k].as_py()), np.int32), ends[:-1])
-            values = (x[k].values.to_numpy() if x[k].is_valid else np.empty(0) for x in (of, share))
-            yield ids[k].values, texts, next(values).astype(np.int64), next(values)
+            n = known[k].values.to_numpy() % COUNTS if known[k].is_valid else np.empty(0, np.int64)
+            of = np.searchsorted(-lows, -n) if len(n) else n
+            yield ids[k].values, texts, of, np.log(n) - masses[of] if len(n) else np.empty(0)
 
 
 class Network:
@@ -145,12 +147,12 @@ def contexts(texts: list[np.ndarray], of: np.ndarray) -> tuple[np.ndarray, np.nd
     return flat[at[:, None] + np.array(OFFSETS)], flat[at]
 
 
-def over_tasks(parts: DataFrame, make: Callable, schema: str) -> DataFrame:
+def over_tasks(parts: DataFrame, classes: tuple[np.ndarray, np.ndarray], make: Callable, schema: str) -> DataFrame:
     """Rows that a task returns once it has seen all its blocks: make() gives (see, end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         see, end = make()
-        for _, texts, of, _ in unpacked(batches):
+        for _, texts, of, _ in unpacked(batches, classes):
             see(texts, of)
         names, columns = zip(*end().items(), strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(names))
@@ -158,7 +160,7 @@ def over_tasks(parts: DataFrame, make: Callable, schema: str) -> DataFrame:
     return parts.mapInArrow(run, schema)
 
 
-def train(parts: DataFrame, rounds: int = 1, rate: float = 0.05) -> Network:
+def train(parts: DataFrame, classes: tuple[np.ndarray, np.ndarray], rounds: int = 1, rate: float = 0.05) -> Network:
     """The network after so many rounds over all documents. In a round each task goes on from the common weights over its own texts, and the
     new common weights are the tasks' means by their number of tokens: sums by weight, as many as the network has."""
     network = Network()
@@ -177,7 +179,7 @@ def train(parts: DataFrame, rounds: int = 1, rate: float = 0.05) -> Network:
 
             return see, lambda: {"weight": np.arange(len(begin) + 1), "value": np.append(own.values.astype(np.float64), 1.0) * seen[0]}
 
-        got = over_tasks(parts, make, "weight long, value double").groupBy("weight").agg(F.sum("value").alias("value")).toArrow()
+        got = over_tasks(parts, classes, make, "weight long, value double").groupBy("weight").agg(F.sum("value").alias("value")).toArrow()
         if not len(got):
             break
         values = np.zeros(len(begin) + 1)
@@ -188,7 +190,7 @@ def train(parts: DataFrame, rounds: int = 1, rate: float = 0.05) -> Network:
     return network
 
 
-def score(parts: DataFrame, network: Network, id_col: str = "doc_id") -> DataFrame:
+def score(parts: DataFrame, classes: tuple[np.ndarray, np.ndarray], network: Network, id_col: str = "doc_id") -> DataFrame:
     """One row per document: id, n_tokens, log_likelihood (the sum of every token's log-probability given both sides) and per_token."""
     values = network.values
     schema = StructType().add(id_col, parts.schema["ids"].dataType.elementType).add("n_tokens", "long").add("log_likelihood", "double").add("per_token", "double")
@@ -196,7 +198,7 @@ def score(parts: DataFrame, network: Network, id_col: str = "doc_id") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(values)
-        for ids, texts, of, share in unpacked(batches):
+        for ids, texts, of, share in unpacked(batches, classes):
             around, gold = contexts(texts, of)
             logs = share[np.concatenate(texts)] if len(gold) else np.empty(0)
             for at in range(0, len(gold), BATCH):
@@ -216,5 +218,5 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null and empty texts have no tokens, likelihood 0 and no mean. Rows that repeat count as often as they stand. An empty table gives an empty
     result. Other columns are not read. What reaches the driver is one number for each count that words have and one a weight.
     """
-    parts = classed(docs, id_col, text_col)
-    return score(parts, train(parts, rounds), id_col)
+    parts, classes = classed(docs, id_col, text_col)
+    return score(parts, classes, train(parts, classes, rounds), id_col)
