@@ -73,7 +73,3 @@ def unproject(x: Column, y: Column) -> tuple[Column, Column]:
     # a fold rather than six nested copies: each round uses its argument once, and so does the plan
     phi = F.aggregate(F.sequence(F.lit(1), F.lit(6)), state, round_)
     return F.degrees(F.atan2(east, north)) / CONE + LON_ORIGIN, F.degrees(phi)
-
-
-def cell(value: Column, size: float) -> Column:
-    return F.floor(value / size)

@@ -5,6 +5,7 @@ Tables have (user_id, t, ord, acc, lon, lat); ord decides ties in time.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -65,8 +66,9 @@ def neighbours(points: DataFrame) -> DataFrame:
     here = F.struct("lon", "lat")
     q = q.withColumns({"_p": F.when(~F.col("_s"), F.lag(here).over(w)), "_n": F.when(~F.col("_e"), F.lead(here).over(w))})
     back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    q = q.withColumns({"_p": F.last("_p", ignorenulls=True).over(back), "_n": F.first("_n", ignorenulls=True).over(ahead)})
+    # looking ahead is looking back in the opposite order: a frame that grows, not one that is gone through for every row
+    ahead = Window.partitionBy("user_id").orderBy(*[F.desc(c) for c in ORDER]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    q = q.withColumns({"_p": F.last("_p", ignorenulls=True).over(back), "_n": F.last("_n", ignorenulls=True).over(ahead)})
     inside = F.col("_s").isNotNull() & F.col("_e").isNotNull()
     far = lambda c: F.coalesce(great_circle(F.col("lat"), F.col("lon"), F.col(f"{c}.lat"), F.col(f"{c}.lon")), F.lit(0.0))
     angle = inner_angle(F.col("lat"), F.col("lon"), F.col("_p.lat"), F.col("_p.lon"), F.col("_n.lat"), F.col("_n.lon"))
@@ -85,12 +87,24 @@ def outlier_candidates(points: DataFrame, p: Params) -> DataFrame:
 
 
 class Chain:
-    """One user's points as a list with neighbour annotations, which removals refresh just around the gap."""
+    """One user's points as a linked list with neighbour annotations, which removals refresh just around the gap.
 
-    def __init__(self, lat, lon):
+    A run of equal places is known by its first and last point, so a removal costs the same however long a phone lies still, and points that the
+    outlier rules ask for wait in two heaps.
+    """
+
+    def __init__(self, lat, lon, p: Params):
         n = len(lat)
+        self.p, self.n = p, n
         self.lat, self.lon = list(lat), list(lon)
-        self.row, self.ante, self.post, self.angle, self.inter = list(range(n)), [None] * n, [None] * n, [None] * n, [False] * n
+        self.before, self.after = list(range(-1, n - 1)), [*range(1, n), -1][:n]
+        self.ante, self.post, self.angle, self.inter, self.gone = [None] * n, [None] * n, [None] * n, [False] * n, [False] * n
+        self.run, self.low, self.high = list(range(n)), list(range(n)), list(range(n))
+        self.flat, self.sharp = [], []
+        for i in range(1, n):
+            if self.same(i - 1, i):
+                self.run[i] = r = self.run[i - 1]
+                self.high[r] = i
         for i in range(1, n - 1):
             self.observe(i)
 
@@ -100,86 +114,121 @@ class Chain:
         return RADIUS * math.atan2(math.hypot(across, along), math.sin(a) * math.sin(b) + math.cos(a) * math.cos(b) * math.cos(d))
 
     def course(self, i: int, j: int) -> float:
+        """Degrees from 0 up to 360."""
         a, b, d = math.radians(self.lat[i]), math.radians(self.lat[j]), math.radians(self.lon[j] - self.lon[i])
-        return math.degrees(math.atan2(math.sin(d) * math.cos(b), math.cos(a) * math.sin(b) - math.sin(a) * math.cos(b) * math.cos(d)))
+        return (math.degrees(math.atan2(math.sin(d) * math.cos(b), math.cos(a) * math.sin(b) - math.sin(a) * math.cos(b) * math.cos(d))) + 360) % 360
 
     def same(self, i: int, j: int) -> bool:
         return self.lat[i] == self.lat[j] and self.lon[i] == self.lon[j]
 
+    def run_of(self, i: int) -> int:
+        """The number that stands for the run; runs that meet are joined."""
+        run = self.run
+        while run[i] != i:
+            run[i] = run[run[i]]
+            i = run[i]
+        return i
+
     def observe(self, i: int) -> None:
-        n = len(self.row)
-        if not 0 < i < n - 1:
+        if i < 0 or self.before[i] < 0 or self.after[i] < 0:
             return
-        if self.same(i - 1, i) and self.same(i, i + 1):
+        r = self.run_of(i)
+        if self.low[r] != i != self.high[r]:
             self.inter[i] = True
-        j = next((k for k in range(i - 1, -1, -1) if not self.same(k, i)), None)
-        k = next((k for k in range(i + 1, n) if not self.same(k, i)), None)
-        self.ante[i] = 0.0 if j is None else self.metres(i, j)
-        self.post[i] = 0.0 if k is None else self.metres(i, k)
-        if j is None or k is None:
+        j, k = self.before[self.low[r]], self.after[self.high[r]]
+        self.ante[i] = 0.0 if j < 0 else self.metres(i, j)
+        self.post[i] = 0.0 if k < 0 else self.metres(i, k)
+        if self.ante[i] * self.post[i] == 0:
             self.angle[i] = 180.0
         else:
-            turn = abs(self.course(i, j) - self.course(i, k)) % 360
+            turn = abs(self.course(i, j) - self.course(i, k))
             self.angle[i] = min(turn, 360 - turn)
+        if self.angle[i] == 0:
+            heapq.heappush(self.flat, i)
+        elif self.angle[i] < self.p.outlier_angle and min(self.ante[i], self.post[i]) > self.p.outlier_distance:
+            heapq.heappush(self.sharp, (self.rank(i), i))
+
+    def rank(self, i: int) -> float:
+        """What decides between sharp turns: their order alone, or how sharp and how far they are."""
+        return 0.0 if self.p.semantics == "reference" else -min(self.ante[i], self.post[i]) / self.angle[i]
 
     def remove(self, i: int) -> None:
-        for column in (self.lat, self.lon, self.row, self.ante, self.post, self.angle, self.inter):
-            del column[i]
-        self.observe(i - 1)
-        self.observe(i)
-
-    def outlier(self, p: Params) -> int | None:
-        inside = range(len(self.row))
-        for i in inside:
-            if self.angle[i] == 0:
+        p, n, r = self.before[i], self.after[i], self.run_of(i)
+        self.gone[i] = True
+        if p >= 0:
+            self.after[p] = n
+        if n >= 0:
+            self.before[n] = p
+        if self.low[r] == i == self.high[r]:
+            if p >= 0 and n >= 0 and self.same(p, n):
+                a, b = self.run_of(p), self.run_of(n)
+                self.run[b] = a
+                self.high[a] = self.high[b]
+        elif self.low[r] == i:
+            self.low[r] = n
+        elif self.high[r] == i:
+            self.high[r] = p
+        self.observe(p)
+        self.observe(n)
+
+    def live(self) -> list[int]:
+        return [i for i in range(self.n) if not self.gone[i]]
+
+    def outlier(self) -> int | None:
+        """The next point to go: the first that is there and exactly back, else a sharp turn."""
+        while self.flat:
+            i = self.flat[0]
+            if not self.gone[i] and self.angle[i] == 0:
                 # a first point that has kept an old angle ends the search, as its place counts as none
-                return i or (None if p.semantics == "reference" else 0)
-        found = [i for i in inside[1:-1] if self.angle[i] is not None and self.angle[i] < p.outlier_angle and min(self.ante[i], self.post[i]) > p.outlier_distance]
-        if not found:
-            return None
-        return found[0] if p.semantics == "reference" else max(found, key=lambda i: min(self.ante[i], self.post[i]) / max(self.angle[i], 1e-9))
+                return None if self.before[i] < 0 and self.p.semantics == "reference" else i
+            heapq.heappop(self.flat)
+        while self.sharp:
+            rank, i = self.sharp[0]
+            inside = not self.gone[i] and self.before[i] >= 0 and self.after[i] >= 0
+            if inside and 0 < self.angle[i] < self.p.outlier_angle and min(self.ante[i], self.post[i]) > self.p.outlier_distance and rank == self.rank(i):
+                return i
+            heapq.heappop(self.sharp)
+        return None
+
+
+def removals(lat: list[float], lon: list[float], t: list, acc: list[float], p: Params) -> list[str | None]:
+    """Why each of a user's points, in order, is removed; None where it stays.
+
+    A step first lists what goes and then removes it from the back, so what its own removals mark waits for the step after it."""
+    chain, why = Chain(lat, lon, p), [None] * len(lat)
+
+    def drop(found: list[int], reason: str) -> None:
+        for i in reversed(found):
+            why[i] = reason
+            chain.remove(i)
+
+    seen, again = set(), []
+    for i, key in enumerate(zip(lat, lon, t, strict=True)):
+        if key in seen:
+            again.append(i)
+        seen.add(key)
+    drop(again, "repeated")
+    drop([i for i in chain.live() if acc[i] > p.max_accuracy], "error")
+    drop([i for i in chain.live() if chain.inter[i]], "sequence")
+    while (i := chain.outlier()) is not None:
+        drop([i], "outlier")
+    drop([i for i in chain.live() if chain.inter[i]], "sequence")
+    return why
 
 
 def clean_users(points: DataFrame, p: Params) -> DataFrame:
     """All cleaning steps of a user in one pass, with removed_by (null where a point stays): repeated, error, sequence, outlier.
 
     The steps share annotations that a removal refreshes only next to it, so a later step may see what an earlier one left behind; that is why
-    they run together, on one user's points in memory, as a grouped function on Arrow batches.
+    they run together, on one user's points in memory, as a grouped function on Arrow batches. Its time grows with the points and the logarithm
+    of the outliers.
     """
     names = [f.name for f in points.schema.fields]
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["t", "ord"], kind="stable").reset_index(drop=True)
-        why = np.full(len(frame), None, dtype=object)
-        chain = Chain(frame["lat"].to_numpy(), frame["lon"].to_numpy())
-
-        def drop(test, reason: str) -> None:
-            i = 0
-            while i < len(chain.row):
-                if test(i):
-                    why[chain.row[i]] = reason
-                    chain.remove(i)
-                else:
-                    i += 1
-
-        seen = set()
-        times, acc = frame["t"].tolist(), frame["acc"].tolist()
-
-        def repeated(i: int) -> bool:
-            key = (chain.lat[i], chain.lon[i], times[chain.row[i]])
-            if key in seen:
-                return True
-            seen.add(key)
-            return False
-
-        drop(repeated, "repeated")
-        drop(lambda i: acc[chain.row[i]] > p.max_accuracy, "error")
-        drop(lambda i: chain.inter[i], "sequence")
-        while (i := chain.outlier(p)) is not None:
-            why[chain.row[i]] = "outlier"
-            chain.remove(i)
-        drop(lambda i: chain.inter[i], "sequence")
-        return frame.assign(removed_by=why)[[*names, "removed_by"]]
+        why = removals(*(frame[c].tolist() for c in ("lat", "lon", "t", "acc")), p)
+        return frame.assign(removed_by=np.array(why, dtype=object))[[*names, "removed_by"]]
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields) + ", removed_by string"
     return points.groupBy("user_id").applyInPandas(one, schema)

@@ -24,22 +24,19 @@ def distance_matrix(truth: DataFrame, computed: DataFrame) -> DataFrame:
 
 
 def match(pairs: list[tuple[float, int, int]], wanted: int, semantics: str) -> list[float]:
-    """Distances of a greedy matching of (distance, computed, true): the smallest pair is taken and those that conflict with it are struck off,
-    which in reference semantics passes over the pair after each one struck."""
-    pairs, out = sorted(pairs), []
-    for _ in range(wanted):
-        if not pairs:
-            break
-        distance, comp, true = pairs[0]
+    """Distances of a greedy matching of (distance, computed, true): the smallest pair is taken off the list and those that conflict with it are
+    struck, which in reference semantics passes over the pair after each one struck. Ids decide ties as texts, as they stand in the files."""
+    left, out = sorted(pairs, key=lambda x: (x[0], str(x[1]), str(x[2]))), []
+    while left and len(out) < wanted:
+        (distance, comp, true), *left = left
         out.append(distance)
-        if semantics == "corrected":
-            pairs = [x for x in pairs if x[1] != comp and x[2] != true]
-            continue
-        i = 0
-        while i < len(pairs):
-            if pairs[i][1] == comp or pairs[i][2] == true:
-                del pairs[i]
-            i += 1
+        kept, passed = [], False
+        for x in left:
+            struck = not passed and (x[1] == comp or x[2] == true)
+            passed = struck and semantics == "reference"
+            if not struck:
+                kept.append(x)
+        left = kept
     return out
 
 
@@ -120,11 +117,47 @@ def strings(truth: DataFrame, computed: DataFrame) -> DataFrame:
 
 
 def report(locations: DataFrame, episode_ratios: DataFrame, texts: DataFrame) -> DataFrame:
-    """The comparison table: numbers rounded to two decimals, halves to even, with the edit distance and the lengths of the strings."""
+    """The comparison table, a row a user: numbers rounded to two decimals, halves to even, with the edit distance and the lengths of the strings."""
     q = locations.join(episode_ratios, "user_id").join(texts, "user_id")
     numbers = [c for c, kind in q.dtypes if kind == "double"]
     q = q.withColumns({c: F.bround(c, 2) for c in numbers})
-    return q.withColumns({"edit_distance": F.levenshtein("true_eps", "comp_eps"), "record_length": F.length("true_eps"), "computed_length": F.length("comp_eps")}).orderBy("user_id")
+    return q.withColumns({"edit_distance": F.levenshtein("true_eps", "comp_eps"), "record_length": F.length("true_eps"), "computed_length": F.length("comp_eps")})
+
+
+#: The columns of the comparison file, in order, and those of report() that they are taken from.
+COMPARISON = {
+    "user": "user_id",
+    "percent_excess_locations": "excess",
+    "mean_distance": "mean_distance",
+    "median_distance": "median_distance",
+    "percent_identified_unknown": "identified_unknown",
+    "percent_identified_travel": "identified_travel",
+    "percent_identified_location": "identified_location",
+    "percent_misidentified_unknown": "misidentified_unknown",
+    "percent_misidentified_travel": "misidentified_travel",
+    "percent_misidentified_location": "misidentified_location",
+    "true_eps": "true_eps",
+    "comp_eps": "comp_eps",
+    "edit_distance": "edit_distance",
+    "record_length": "record_length",
+    "computed_length": "computed_length",
+}
+
+
+def comparison_table(found: DataFrame) -> DataFrame:
+    """report() under the names of the comparison file."""
+    return found.select(*[F.col(v).alias(k) for k, v in COMPARISON.items()])
+
+
+def write_comparison(found: DataFrame, path: str) -> None:
+    """The comparison file, in order of user: a row a user, so one task writes it."""
+    comparison_table(found).coalesce(1).sortWithinPartitions("user").write.mode("overwrite").csv(path, header=True)
+
+
+def timeline(truth: DataFrame, computed: DataFrame) -> DataFrame:
+    """(user_id, side, sequence, start, finish, class): the episodes of both sides that have an end, to be drawn one above the other."""
+    one = lambda df, side: spans(df).where("finish is not null").select("user_id", F.lit(side).alias("side"), "sequence", "start", "finish", letter(F.col("unknown"), F.col("location_id")).alias("class"))
+    return one(truth, "truth").unionByName(one(computed, "computed"))
 
 
 def only_in_truth(truth: DataFrame, computed: DataFrame) -> DataFrame:

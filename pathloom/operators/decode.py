@@ -82,21 +82,24 @@ def metres(lat, lon, lats, lons) -> np.ndarray:
 
 
 def states(points: DataFrame, locations: DataFrame, p: Params) -> DataFrame:
-    """Adds state to points with travel_emit: 0 for travel, else the location_id. A user's locations come along as an array; a segment is decoded in
-    memory, as each step depends on the one before."""
-    found = locations.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("location_id", "lat", "lon"))).alias("_places"))
-    q = points.join(found, "user_id", "left")
+    """Adds state to points with travel_emit: 0 for travel, else the location_id. A user's points and locations meet in one grouped function, each
+    sent once; a segment is decoded in memory, as each step depends on the one before. A user without locations travels."""
     names = points.columns
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "synthetic", "ord", "j"], kind="stable")
-        places = frame["_places"].iloc[0]
-        places = [] if places is None else list(places)
-        lats, lons = np.array([x["lat"] for x in places], dtype=float), np.array([x["lon"] for x in places], dtype=float)
+    def decoded(frame: pd.DataFrame, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
         d = metres(frame["lat"].to_numpy(float), frame["lon"].to_numpy(float), lats, lons)
         emit = np.column_stack([frame["travel_emit"].to_numpy(float), -(d**2) / (2 * p.emission_bandwidth**2)])
-        path = viterbi(emit, start_probabilities(emit.shape[1]), transition_matrix(emit.shape[1]))
-        return frame.assign(state=path.astype(np.int32))[[*names, "state"]]
+        return viterbi(emit, start_probabilities(emit.shape[1]), transition_matrix(emit.shape[1]))
+
+    def one(frame: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
+        if frame.empty:
+            return pd.DataFrame({c: [] for c in [*names, "state"]})
+        frame = frame.sort_values(["known_subset", "t", "synthetic", "ord", "j"], kind="stable").reset_index(drop=True)
+        places = places.sort_values("location_id")
+        ids = np.append(0, places["location_id"].to_numpy(np.int32))
+        parts = [decoded(x, places["lat"].to_numpy(float), places["lon"].to_numpy(float)) for _, x in frame.groupby("known_subset", dropna=False, sort=False)]
+        return frame.assign(state=ids[np.concatenate(parts)].astype(np.int32))[[*names, "state"]]
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields) + ", state int"
-    return q.groupBy("user_id", "known_subset").applyInPandas(one, schema)
+    found = locations.select("user_id", "location_id", "lat", "lon")
+    return points.groupBy("user_id").cogroup(found.groupBy("user_id")).applyInPandas(one, schema)

@@ -22,40 +22,53 @@ def peak_threshold(rms: Column, total: Column, p: Params) -> Column:
     return F.when(total > p.minimum_activity, F.exp(-0.25 / v) / (2 * math.pi * v) * p.minimum_activity / total)
 
 
+#: Bins a bandwidth where weights are summed in bins.
+BINS = 10
+
+
 def kde(points: DataFrame, p: Params) -> DataFrame:
     """(user_id, lon, lat, x, y, kde): the density of the weights at each different place, per square metre.
 
     Weights are summed by place first. Kernels reach kde_cells bandwidths, beyond which they are below 2e-22 of their peak: places meet by grid
-    cells of that size, each place at its own cell and those around, so no user's places are crossed as a whole. Users with more places
-    than kde_limit are no error here, as nothing is held in one task.
+    cells of that size, each place at its own cell and those around, so no user's places are crossed as a whole. Of a user with more than kde_limit
+    points the weights are summed in bins of a BINS-th of the bandwidth, at their mean place, before places meet: a cell then has a bounded number
+    of sources however many places it has, and each source's kernel is off by 1 / (4 * BINS**2) of its peak at most.
     """
-    reach = p.kernel_bandwidth * p.kde_cells
-    at = points.groupBy("user_id", "lon", "lat").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.sum("weight").alias("w"))
-    at = at.withColumns({"i": F.floor(F.col("x") / reach), "k": F.floor(F.col("y") / reach)})
-    total = at.groupBy("user_id").agg(F.sum("w").alias("total"))
+    reach, bin_ = p.kernel_bandwidth * p.kde_cells, p.kernel_bandwidth / BINS
+    at = points.groupBy("user_id", "lon", "lat").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.sum("weight").alias("w"), F.count("*").alias("n"))
+    total = at.groupBy("user_id").agg(F.sum("w").alias("total"), (F.sum("n") > p.kde_limit).alias("large"))
+    bins = lambda c: F.when(F.col("large"), F.floor(F.col(c) / bin_).cast("double")).otherwise(F.col(c))
+    mean = lambda c: F.when(F.first("large"), F.sum(F.col("w") * F.col(c)) / F.sum("w")).otherwise(F.first(c))
+    source = at.where("w > 0").join(total, "user_id").groupBy("user_id", bins("x").alias("bx"), bins("y").alias("by")).agg(mean("x").alias("sx"), mean("y").alias("sy"), F.sum("w").alias("w"))
     steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    source = at.where("w > 0").select("user_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "w", F.explode(F.transform(steps, lambda d: F.col("i") + d)).alias("i"), "k")
-    source = source.select("user_id", "sx", "sy", "w", "i", F.explode(F.transform(steps, lambda d: F.col("k") + d)).alias("k"))
+    source = source.select("user_id", "sx", "sy", "w", F.explode(F.transform(steps, lambda d: F.floor(F.col("sx") / reach) + d)).alias("i"))
+    source = source.select("*", F.explode(F.transform(steps, lambda d: F.floor(F.col("sy") / reach) + d)).alias("k"))
     square = (F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2
     h2 = p.kernel_bandwidth**2
     term = F.when(square <= reach * reach, F.col("w") * F.exp(-square / (2 * h2)))
-    sums = at.drop("w").join(source, ["user_id", "i", "k"]).groupBy("user_id", "lon", "lat", "x", "y").agg(F.sum(term).alias("s"))
+    where = at.select("user_id", "lon", "lat", "x", "y", F.floor(F.col("x") / reach).alias("i"), F.floor(F.col("y") / reach).alias("k"))
+    sums = where.join(source, ["user_id", "i", "k"]).groupBy("user_id", "lon", "lat", "x", "y").agg(F.sum(term).alias("s"))
     return sums.join(total, "user_id").select("user_id", "lon", "lat", "x", "y", (F.coalesce("s", F.lit(0.0)) / (F.col("total") * 2 * math.pi * h2)).alias("kde"))
 
 
 def peaks(density: DataFrame, p: Params) -> DataFrame:
     """Rows of (user_id, lon, lat, kde, threshold, ...) at or above their threshold with no higher one within location_distance. Densities that
-    differ in the last bits alone are equal."""
+    differ in the last bits alone are equal.
+
+    Only the highest rows of a cell so small that all in it are near each other can be peaks. These few are compared with all rows around them, so
+    a cell with very many rows costs as many comparisons, not their square."""
     high = density.where(F.col("kde") >= F.col("threshold")).withColumn("h", F.round(F.col("kde") * 1e9, 6))
+    small = p.location_distance / 160_000
+    top = high.withColumn("_top", F.max("h").over(Window.partitionBy("user_id", F.floor(F.col("lat") / small), F.floor(F.col("lon") / small)))).where("h = _top").drop("_top")
     tall, wide = p.location_distance / 111_000, p.location_distance / 44_000
-    cells = {"i": F.floor(F.col("lat") / tall), "k": F.floor(F.col("lon") / wide)}
     steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    other = high.withColumns(cells).select("user_id", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.col("h").alias("h2"), F.explode(F.transform(steps, lambda d: F.col("i") + d)).alias("i"), "k")
-    other = other.select("user_id", "lon2", "lat2", "h2", "i", F.explode(F.transform(steps, lambda d: F.col("k") + d)).alias("k"))
-    a, b = high.withColumns(cells).alias("a"), other.alias("b")
-    near = great_circle(F.col("a.lat"), F.col("a.lon"), F.col("b.lat2"), F.col("b.lon2")) <= p.location_distance
-    same = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.k") == F.col("b.k"))
-    return a.join(b, same & (F.col("b.h2") > F.col("a.h")) & near, "left_anti").drop("h", "i", "k")
+    cell = {"i": F.floor(F.col("lat") / tall), "k": F.floor(F.col("lon") / wide)}
+    around = top.withColumns(cell).select("user_id", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), F.col("h").alias("h1"), F.explode(F.transform(steps, lambda d: F.col("i") + d)).alias("i"), "k")
+    around = around.select("user_id", "lon1", "lat1", "h1", "i", F.explode(F.transform(steps, lambda d: F.col("k") + d)).alias("k"))
+    near = great_circle(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")) <= p.location_distance
+    lower = around.join(high.withColumns(cell).select("user_id", "lon", "lat", "h", "i", "k"), ["user_id", "i", "k"]).where((F.col("h") > F.col("h1")) & near)
+    lower = lower.select("user_id", F.col("lon1").alias("lon"), F.col("lat1").alias("lat")).distinct()
+    return top.join(lower, ["user_id", "lon", "lat"], "left_anti").drop("h")
 
 
 def numbered(found: DataFrame, order: list[str]) -> DataFrame:

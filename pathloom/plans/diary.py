@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from ..operators import clean, days, decode, locate, segment
 from ..operators import episodes as ep
 from ..params import Params
-from .tables import written
+from .tables import remove, written
 
 
-def diary(points: DataFrame, places: DataFrame, p: Params | None = None, stations: DataFrame | None = None) -> dict[str, DataFrame]:
-    """points (user_id, t, ord, acc, lon, lat) and named places (user_id, name, lon, lat) to locations, episodes, points and days.
+RESULTS = ("locations", "episodes", "points", "days")
 
-    Users without points left, without locations or without named places have no or fewer rows, and raise nothing.
+
+def diary(points: DataFrame, places: DataFrame, p: Params | None = None, stations: DataFrame | None = None, results: tuple[str, ...] = RESULTS) -> dict[str, DataFrame]:
+    """points (user_id, t, ord, acc, lon, lat) and named places (user_id, name, lon, lat) to locations, episodes, points and days, of which
+    only those asked for are made.
+
+    Users without points left, without locations or without named places have no or fewer rows, and raise nothing. Tables that the results
+    asked for don't read are removed; close() removes the others, once the results have been used.
     """
     p = p or Params()
     cleaned = written(clean.clean_users(clean.min_points_gate(points.where("lon is not null and lat is not null"), p), p), "cleaned")
@@ -32,14 +37,28 @@ def diary(points: DataFrame, places: DataFrame, p: Params | None = None, station
     names = locate.location_names(locate.nearest_named(places, locations, p))
     dense = segment.interpolated(filled, segment.temporal_points(filled, p)).fillna({"weight": 0.0})
     states = written(decode.states(decode.travel_emission(dense), locations, p), "states")
-    typed = ep.with_types(ep.state_changes(states), names)
-    stays = written(ep.without_short_stops(typed, p), "episodes")
-    return {
-        "locations": location_table(locations, names, states, stays),
-        "episodes": stays,
-        "points": point_table(states, density, cleaned.where("removed_by is not null"), p),
-        "days": days.day_summary(days.day_slices(stays, p)),
-    }
+    out, used = {}, set()
+    if set(results) - {"points"}:
+        typed = ep.with_types(ep.state_changes(states), names)
+        stays = written(ep.without_short_stops(typed, p), "episodes")
+        out |= {"episodes": stays, "days": days.day_summary(days.day_slices(stays, p)), "locations": location_table(locations, names, states, stays)}
+        used |= {"stays"}
+    if "points" in results:
+        out["points"] = point_table(states, density, cleaned.where("removed_by is not null"), p)
+        used |= {"cleaned", "density", "states"}
+    if "locations" in results:
+        used |= {"locations", "states"}
+    made = {"cleaned": cleaned, "filled": filled, "density": density, "locations": locations, "states": states} | ({"stays": out["episodes"]} if "episodes" in out else {})
+    remove(*[t for k, t in made.items() if k not in used])
+    return {k: out[k] for k in results}
+
+
+def close(tables: dict[str, DataFrame]) -> None:
+    """Remove what the results of diary() are read from."""
+    folders = {f.rsplit("/", 1)[0]: df for df in tables.values() for f in df.inputFiles()}
+    for folder, df in folders.items():
+        if folder.rsplit("/", 2)[-2] == "pathloom":
+            remove(df.sparkSession.read.parquet(folder))
 
 
 def location_table(locations: DataFrame, names: DataFrame, states: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -57,8 +76,7 @@ def point_table(states: DataFrame, density: DataFrame, removed: DataFrame, p: Pa
     keys = ["user_id", "known_subset", "t", "synthetic", "ord", "j"]
     kept = states.join(marks, keys, "left").select("user_id", F.col("t").alias("unix_time"), F.when(~F.col("synthetic"), F.col("known_subset")).alias("known_subset"), "lon", "lat", "x", "y", "weight", F.lit(False).alias("removed"), F.col("synthetic").alias("interpolated"), "state", F.coalesce("kde", F.lit(-1.0)).alias("kde"), F.col("travel_emit").alias("travel_emit_prob"))
     gone = removed.select("user_id", F.col("t").cast("double").alias("unix_time"), "lon", "lat", x.alias("x"), y.alias("y"), F.lit(0.0).alias("weight"), F.lit(True).alias("removed"), F.lit(False).alias("interpolated"), F.lit(-1.0).alias("kde"))
-    text = F.date_format(days.local(F.col("unix_time"), Params(zone=p.zone)), "yyyy-MM-dd HH:mm:ss")
-    return kept.unionByName(gone, allowMissingColumns=True).withColumn("timestamp", text)
+    return kept.unionByName(gone, allowMissingColumns=True).withColumn("timestamp", days.local_text(F.col("unix_time"), p))
 
 
 #: The columns of the text files, in order, and where they come from.
@@ -73,7 +91,7 @@ FILES = {
 def file_table(name: str, df: DataFrame, p: Params) -> DataFrame:
     """A diary table as its text file has it."""
     if name == "episodes":
-        text = F.date_format(days.local(F.col("start"), Params(zone=p.zone)), "yyyy-MM-dd HH:mm:ss")
+        text = days.local_text(F.col("start"), p)
         spent = F.when(F.col("linked_duration") != 0, F.col("linked_duration"))
         df = df.select("user_id", "sequence", "location_id", F.lit("").alias("mode"), F.when(F.col("unknown"), "True").alias("unknown"), text.alias("local_start_time"), F.col("start").alias("unix_start_time"), spent.alias("duration"))
     if name == "days":

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 POINTS = "uuid string, timestamp_epoch bigint, h_accuracy double, longitude double, latitude double"
 PROMPTS = "id int, uuid string, response string, latitude double, longitude double, displayed_at_UTC string, recorded_at_UTC string, prompt_num int, displayed_at_epoch bigint, recorded_at_epoch bigint"
-EPISODES = "user_id string, sequence int, location_id int, mode string, unknown string, local_start_time string, unix_start_time double"
+EPISODES = "user_id string, sequence int, location_id string, mode string, unknown string, local_start_time string, unix_start_time double"
 LOCATIONS = "user_id string, location_id int, lon double, lat double, description string, used string"
 #: Survey columns of each kind of place, in the order in which names are joined.
 PLACES = {"home": "home", "work": "work", "school": "study"}
@@ -42,9 +42,9 @@ def prompts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def episodes(spark: SparkSession, path: str) -> DataFrame:
-    """(user_id, sequence, location_id, unknown, start): the time is taken by its name, as a number."""
+    """(user_id, sequence, location_id, unknown, start): the time is taken by its name, as a number; a location called None is none."""
     raw = by_header(spark, path, EPISODES)
-    return raw.select("user_id", "sequence", "location_id", (F.col("unknown") == "True").alias("unknown"), F.col("unix_start_time").alias("start")).fillna({"unknown": False})
+    return raw.select("user_id", "sequence", F.when(F.col("location_id") != "None", F.col("location_id")).cast("int").alias("location_id"), (F.col("unknown") == "True").alias("unknown"), F.col("unix_start_time").alias("start")).fillna({"unknown": False})
 
 
 def locations(spark: SparkSession, path: str) -> DataFrame:
