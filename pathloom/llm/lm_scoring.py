@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
 
-from .common import blocks, release, remove, written
+from .common import BLOCK_BYTES, release, remove, written
 
 #: Words fall into CLASSES of about equal mass by how often they are found; the network has HIDDEN units.
 CLASSES, HIDDEN = 64, 16
 OFFSETS = (-2, -1, 1, 2)
 #: Tokens of a training step.
 BATCH = 4096
-#: A place and a count in one number: place * COUNTS + count.
-COUNTS = 1 << 36
+#: Documents are dealt to shards by a hash of their own, so many bytes of text a shard, or more where there would be more than MOST_SHARDS.
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 20_000
+#: Weights are summed as whole numbers of 1 / FIXED, so that their mean doesn't depend on the order of the sum.
+FIXED = 1 << 16
 
 
 class Numbers(dict):
@@ -34,73 +37,122 @@ class Numbers(dict):
 
 def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Blocks of documents: their ids, numbers of words, the words as places in the block's own list of words, that list, and its counts. Words are
-    what stands between ASCII white space, in lower case."""
-    inner = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    what stands between ASCII white space, in lower case.
+
+    A block is a run of BLOCK_BYTES (or one longer text) of a shard's documents in order of id and text. Shards and order depend on the rows alone, and
+    so do the blocks, however the input is partitioned."""
+    text = F.col(text_col).cast("string").cast("binary")
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    shards = max(1, -(-total // max(SHARD_BYTES, total // MOST_SHARDS)))
+    inner = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
+    inner = inner.repartition(shards, "shard").sortWithinPartitions("shard", "id", "text")
     schema = StructType().add("block", LongType()).add("ids", ArrayType(inner.schema["id"].dataType)).add("sizes", ArrayType(IntegerType())).add("codes", BinaryType()).add("words", ArrayType(BinaryType())).add("counts", ArrayType(LongType()))
     fields = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 32
-        for block in blocks(batches, 1):
+        at, shard, size = TaskContext.get().partitionId() << 32, None, 0
+        ids, texts = [], []
+
+        def block() -> pa.RecordBatch:
             numbers = Numbers()
-            texts = [(t or b"").lower().split() for t in block.column(1).to_pylist()]
-            sizes = [len(t) for t in texts]
-            codes = np.fromiter((numbers[w] for t in texts for w in t), np.int32, sum(sizes))
-            row = [at, block.column(0).to_pylist(), sizes, zlib.compress(codes.tobytes(), 1), list(numbers), np.bincount(codes, minlength=len(numbers)).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, fields, strict=True)], schema=fields)
-            at += 1
+            split = [t.lower().split() for t in texts]
+            sizes = [len(t) for t in split]
+            codes = np.fromiter((numbers[w] for t in split for w in t), np.int32, sum(sizes))
+            row = [at, list(ids), sizes, zlib.compress(codes.tobytes(), 1), list(numbers), np.bincount(codes, minlength=len(numbers)).tolist()]
+            return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, fields, strict=True)], schema=fields)
+
+        for batch in batches:
+            for i, own, s in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                own = own or b""
+                if ids and (s != shard or size + len(own) > BLOCK_BYTES):
+                    yield block()
+                    at, size = at + 1, 0
+                    ids.clear()
+                    texts.clear()
+                shard, size = s, size + len(own)
+                ids.append(i)
+                texts.append(own)
+        if ids:
+            yield block()
 
     return inner.mapInArrow(run, schema)
 
 
-def bands(histogram: list[tuple[int, int]]) -> tuple[list[int], list[float]]:
-    """From (count, words with it): the least count of each class that is used, downwards, and the logarithm of its mass."""
-    lows, masses = {}, {}
-    total, done = sum(n * m for n, m in histogram), 0
-    for n, m in sorted(histogram, reverse=True):
-        c = min(int(CLASSES * (done + n * m / 2) / total), CLASSES - 1)
-        done += n * m
-        lows[c], masses[c] = n, masses.get(c, 0) + n * m
-    return list(lows.values()), [float(np.log(x)) for x in masses.values()]
+class Shape:
+    """How large the model is, from the histogram (count, words with it) of the vocabulary.
+
+    lows: the least count of each class that is used, downwards. bits: the length of the code that tells the words of a class apart, so that about
+    CLASSES words share one. rows: rows of input weights for each class, which grow with the square root of the vocabulary."""
+
+    def __init__(self, histogram: list[tuple[int, int]]):
+        lows: dict[int, int] = {}
+        total, done = sum(n * m for n, m in histogram), 0
+        for n, m in sorted(histogram, reverse=True):
+            lows[min(int(CLASSES * (done + n * m / 2) / total), CLASSES - 1)] = n
+            done += n * m
+        self.lows = list(lows.values())
+        words = sum(m for _, m in histogram)
+        self.bits = max(1, math.ceil(math.log2(max(words, 2) / CLASSES)))
+        self.rows = max(1, 1 << math.ceil(math.log2(max(words, 1) ** 0.5 / CLASSES))) if words > CLASSES**2 else 1
 
 
-def classed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
-    """The blocks with the count over all documents of each word of their lists, its place before it in one number, as a table in the shared
-    folder; and the classes' least counts and masses.
+def classed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Shape]:
+    """The blocks with, for each word of their lists, a key (its hash with its class in the low byte) and the logarithm of its share of all that is
+    found of its class and code, as a table in the shared folder; and the model's shape.
 
     The vocabulary, every word with its count over all documents, is a table there too: it grows with the documents, no two words share an entry,
     and it meets the blocks' lists in a join on the word. The driver is given how many words have each count."""
     parts = written(coded(docs, id_col, text_col), "blocks")
+    release(docs.sparkSession)
     lists = parts.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     vocabulary = written(lists.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
     release(docs.sparkSession)
-    lows, masses = bands([(r.n, r.m) for r in vocabulary.groupBy("n").agg(F.count("*").alias("m")).collect()])
-    own = lists.drop("n").join(vocabulary.hint("shuffle_hash"), "word").groupBy("block").agg(F.sort_array(F.collect_list(F.col("at").cast("long") * COUNTS + F.col("n"))).alias("known"))
-    out = written(parts.drop("words", "counts").join(own, "block", "left").select("ids", "sizes", "codes", "known"), "classed")
-    remove(parts)
+    shape = Shape([(r.n, r.m) for r in vocabulary.groupBy("n").agg(F.count("*").alias("m")).collect()])
+    class_ = sum((F.when(F.col("n") < low, 1).otherwise(0) for low in shape.lows[:-1]), F.lit(0))
+    keyed = vocabulary.withColumn("key", F.shiftleft(F.shiftright(F.xxhash64("word"), 8), 8) + class_)
+    leaf = [F.col("key").bitwiseAND(255).alias("c"), F.shiftright("key", 8).bitwiseAND((1 << shape.bits) - 1).alias("code")]
+    mass = keyed.groupBy(*leaf).agg(F.sum("n").alias("mass"))
+    shared = keyed.select("word", "key", "n", *leaf).join(mass.hint("shuffle_hash"), ["c", "code"]).select("word", "key", F.log(F.col("n") / F.col("mass")).cast("float").alias("share"))
+    shared = written(shared, "shares")
+    own = lists.drop("n").join(shared.hint("shuffle_hash"), "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "key", "share"))).alias("x"))
+    own = own.select("block", F.col("x.key").alias("keys"), F.col("x.share").alias("shares"))
+    out = written(parts.drop("words", "counts").join(own, "block", "left").select("ids", "sizes", "codes", "keys", "shares"), "classed")
+    remove(parts, vocabulary, shared)
     release(docs.sparkSession)
-    return out, (np.array(lows), np.array(masses))
+    return out, shape
+
+
+class Block:
+    """A block's texts as numbers of words; for each word its class, row of input weights, code bits and share."""
 
+    def __init__(self, batch: pa.RecordBatch, k: int, shape: Shape):
+        ids, sizes, codes, keys, shares = (batch.column(i)[k] for i in range(5))
+        self.ids, self.sizes = ids.values, sizes.values.to_numpy()
+        self.tokens = np.frombuffer(zlib.decompress(codes.as_py()), np.int32)
+        key = keys.values.to_numpy() if keys.is_valid else np.empty(0, np.int64)
+        self.share = shares.values.to_numpy().astype(np.float64) if shares.is_valid else np.empty(0)
+        self.of = key & 255
+        code = (key >> 8) & ((1 << shape.bits) - 1)
+        self.bits = ((code[:, None] >> np.arange(shape.bits)) & 1).astype(np.float32)
+        # the row is chosen by other bits of the hash than the code
+        self.row = 1 + self.of * shape.rows + ((key >> 40) & (shape.rows - 1))
 
-def unpacked(batches: Iterator[pa.RecordBatch], classes: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[pa.Array, list[np.ndarray], np.ndarray, np.ndarray]]:
-    """(ids, codes of each text, classes, shares) of each block."""
-    lows, masses = classes
-    for batch in batches:
-        ids, sizes, codes, known = (batch.column(i) for i in range(4))
-        for k in range(batch.num_rows):
-            ends = np.cumsum(sizes[k].values.to_numpy())
-            texts = np.split(np.frombuffer(zlib.decompress(codes[k].as_py()), np.int32), ends[:-1])
-            n = known[k].values.to_numpy() % COUNTS if known[k].is_valid else np.empty(0, np.int64)
-            of = np.searchsorted(-lows, -n) if len(n) else n
-            yield ids[k].values, texts, of, np.log(n) - masses[of] if len(n) else np.empty(0)
+    def around(self) -> np.ndarray:
+        """The rows of the tokens at each offset; row 0 is what lies beyond a text."""
+        reach = max(OFFSETS)
+        place = np.arange(len(self.tokens)) + reach * (1 + np.repeat(np.arange(len(self.sizes)), self.sizes))
+        flat = np.zeros(len(self.tokens) + reach * (1 + len(self.sizes)), dtype=np.int64)
+        flat[place] = self.row[self.tokens]
+        return flat[place[:, None] + np.array(OFFSETS)]
 
 
 class Network:
-    """softmax(tanh(sum over offsets of a row for the class there, + bias) @ out + bias): the class of a masked token. Class CLASSES is what lies
-    beyond the text."""
+    """Hidden units tanh(sum over offsets of the row for the token there, + bias); from them a softmax over classes and one logistic unit for each bit
+    of the code. A masked token's probability is that of its class, times those of its code's bits, times its share of what has both."""
 
-    def __init__(self, values: np.ndarray | None = None):
-        shapes = [(len(OFFSETS), CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
+    def __init__(self, shape: Shape, values: np.ndarray | None = None):
+        self.shape = shape
+        shapes = [(len(OFFSETS), 1 + CLASSES * shape.rows, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES + shape.bits), (CLASSES + shape.bits,)]
         sizes = [int(np.prod(s)) for s in shapes]
         if values is None:
             rng = np.random.Generator(np.random.PCG64(11))
@@ -109,114 +161,106 @@ class Network:
         self.rows, self.shift, self.out, self.bias = [v.reshape(s) for v, s in zip(np.split(self.values, np.cumsum(sizes)[:-1]), shapes, strict=True)]
         self.squares = np.full_like(self.values, 1e-3)
 
-    def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hidden units, log-probabilities of the classes) for rows of classes at the offsets."""
+    def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hidden units, log-probabilities of the classes, logits of the bits)."""
         h = self.shift + self.rows[0][around[:, 0]]
         for j in range(1, len(OFFSETS)):
             h += self.rows[j][around[:, j]]
         np.tanh(h, out=h)
         z = h @ self.out + self.bias
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return h, z
-
-    def step(self, around: np.ndarray, gold: np.ndarray, rate: float) -> None:
-        """One step down the mean loss, each weight by its own squares so far."""
-        h, z = self.forward(around)
-        d = np.exp(z, out=z)
+        c, u = z[:, :CLASSES], z[:, CLASSES:]
+        c = c - c.max(1, keepdims=True)
+        c -= np.log(np.exp(c).sum(1, keepdims=True))
+        return h, c, u
+
+    def logs(self, around: np.ndarray, gold: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """The log-probability of each token's class and code."""
+        _, c, u = self.forward(around)
+        return c[np.arange(len(gold)), gold] - np.logaddexp(0, (1 - 2 * bits) * u).sum(1)
+
+    def gradient(self, around: np.ndarray, gold: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """Of the mean of -logs()."""
+        h, c, u = self.forward(around)
+        d = np.concatenate([np.exp(c), 1 / (1 + np.exp(-u)) - bits], axis=1)
         d[np.arange(len(gold)), gold] -= 1
         d /= len(gold)
         back = (d @ self.out.T) * (1 - h * h)
         unit = np.arange(HIDDEN)
-        size = (CLASSES + 1) * HIDDEN
+        size = self.rows[0].size
         rows = [np.bincount((around[:, j, None] * HIDDEN + unit).ravel(), weights=back.ravel(), minlength=size) for j in range(len(OFFSETS))]
-        g = np.concatenate([*rows, back.sum(0), (h.T @ d).ravel(), d.sum(0)]).astype(np.float32)
+        return np.concatenate([*rows, back.sum(0), (h.T @ d).ravel(), d.sum(0)]).astype(np.float32)
+
+    def step(self, around: np.ndarray, gold: np.ndarray, bits: np.ndarray, rate: float) -> None:
+        """One step down the mean loss, each weight by its own squares so far."""
+        g = self.gradient(around, gold, bits)
         self.squares += g * g
         self.values -= rate * g / np.sqrt(self.squares)
 
 
-def contexts(texts: list[np.ndarray], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(classes around, class) of every token of the texts; no text sees another."""
-    reach = max(OFFSETS)
-    pad = np.full(reach, CLASSES, dtype=np.int64)
-    parts = [pad]
-    for t in texts:
-        parts += [of[t], pad]
-    flat = np.concatenate(parts)
-    at = np.flatnonzero(flat < CLASSES)
-    return flat[at[:, None] + np.array(OFFSETS)], flat[at]
-
-
-def over_tasks(parts: DataFrame, classes: tuple[np.ndarray, np.ndarray], make: Callable, schema: str) -> DataFrame:
-    """Rows that a task returns once it has seen all its blocks: make() gives (see, end)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        see, end = make()
-        for _, texts, of, _ in unpacked(batches, classes):
-            see(texts, of)
-        names, columns = zip(*end().items(), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(names))
-
-    return parts.mapInArrow(run, schema)
-
-
-def train(parts: DataFrame, classes: tuple[np.ndarray, np.ndarray], rounds: int = 1, rate: float = 0.05) -> Network:
-    """The network after so many rounds over all documents. In a round each task goes on from the common weights over its own texts, and the
-    new common weights are the tasks' means by their number of tokens: sums by weight, as many as the network has."""
-    network = Network()
+def train(parts: DataFrame, shape: Shape, rounds: int = 2, rate: float = 0.05) -> Network:
+    """The network after so many rounds over all documents. In a round each block goes on from the common weights over its own texts, and the new
+    common weights are the blocks' means by their number of tokens: sums by weight, as many as the network has. As blocks depend on the rows alone
+    and sums are of whole numbers, so do the weights."""
+    network = Network(shape)
+    spark = parts.sparkSession
     for _ in range(rounds):
-        begin = network.values
-
-        def make(begin=begin):
-            own = Network(begin.copy())
-            seen = [0]
-
-            def see(texts, of):
-                around, gold = contexts(texts, of)
-                for at in range(0, len(gold), BATCH):
-                    own.step(around[at : at + BATCH], gold[at : at + BATCH], rate)
-                seen[0] += len(gold)
-
-            return see, lambda: {"weight": np.arange(len(begin) + 1), "value": np.append(own.values.astype(np.float64), 1.0) * seen[0]}
-
-        got = over_tasks(parts, classes, make, "weight long, value double").groupBy("weight").agg(F.sum("value").alias("value")).toArrow()
-        if not len(got):
-            break
-        values = np.zeros(len(begin) + 1)
-        values[got.column("weight").to_numpy()] = got.column("value").to_numpy()
+        begin = spark.sparkContext.broadcast(network.values)
+
+        def run(batches: Iterator[pa.RecordBatch], begin=begin) -> Iterator[pa.RecordBatch]:
+            values = begin.value
+            sums = np.zeros(len(values) + 1, dtype=np.int64)
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    block, own = Block(batch, k, shape), Network(shape, values.copy())
+                    around = block.around()
+                    for at in range(0, len(around), BATCH):
+                        tokens = block.tokens[at : at + BATCH]
+                        own.step(around[at : at + BATCH], block.of[tokens], block.bits[tokens], rate)
+                    weight = -(-len(around) >> 10)
+                    sums[:-1] += np.rint(own.values.astype(np.float64) * FIXED).astype(np.int64) * weight
+                    sums[-1] += FIXED * weight
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["weight", "value"])
+
+        got = parts.mapInArrow(run, "weight long, value long").groupBy("weight").agg(F.sum("value").alias("value")).toArrow()
+        begin.destroy()
+        values = np.zeros(len(network.values) + 1)
+        if len(got):
+            values[got.column("weight").to_numpy()] = got.column("value").to_numpy()
         if not values[-1]:
             break
-        network = Network(values[:-1] / values[-1])
+        network = Network(shape, values[:-1] / values[-1])
     return network
 
 
-def score(parts: DataFrame, classes: tuple[np.ndarray, np.ndarray], network: Network, id_col: str = "doc_id") -> DataFrame:
+def score(parts: DataFrame, shape: Shape, network: Network, id_col: str = "doc_id") -> DataFrame:
     """One row per document: id, n_tokens, log_likelihood (the sum of every token's log-probability given both sides) and per_token."""
-    values = network.values
+    values = parts.sparkSession.sparkContext.broadcast(network.values)
     schema = StructType().add(id_col, parts.schema["ids"].dataType.elementType).add("n_tokens", "long").add("log_likelihood", "double").add("per_token", "double")
     fields = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(values)
-        for ids, texts, of, share in unpacked(batches, classes):
-            around, gold = contexts(texts, of)
-            logs = share[np.concatenate(texts)] if len(gold) else np.empty(0)
-            for at in range(0, len(gold), BATCH):
-                z = net.forward(around[at : at + BATCH])[1]
-                logs[at : at + BATCH] += z[np.arange(len(z)), gold[at : at + BATCH]]
-            sizes = np.array([len(t) for t in texts])
-            sums = np.diff(np.append(0.0, np.cumsum(logs))[np.append(0, np.cumsum(sizes))])
-            columns = [ids, sizes, sums, [x / n if n else None for x, n in zip(sums.tolist(), sizes.tolist(), strict=True)]]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+        net = Network(shape, values.value)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block = Block(batch, k, shape)
+                around, logs = block.around(), block.share[block.tokens]
+                for at in range(0, len(around), BATCH):
+                    tokens = block.tokens[at : at + BATCH]
+                    logs[at : at + BATCH] += net.logs(around[at : at + BATCH], block.of[tokens], block.bits[tokens])
+                sizes = block.sizes
+                sums = np.diff(np.append(0.0, np.cumsum(logs))[np.append(0, np.cumsum(sizes))])
+                columns = [block.ids, sizes, sums, [x / n if n else None for x, n in zip(sums.tolist(), sizes.tolist(), strict=True)]]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
     return parts.mapInArrow(run, schema)
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
     """Score every document under a network trained on all of them; see score().
 
     Null and empty texts have no tokens, likelihood 0 and no mean. Rows that repeat count as often as they stand. An empty table gives an empty
-    result. Other columns are not read. What reaches the driver is one number for each count that words have and one a weight.
+    result. Other columns are not read. Scores depend on the rows alone, not on how they are partitioned. What reaches the driver is one number for
+    each count that words have and one a weight; the network has a number of weights that grows with the square root of the vocabulary.
     """
-    parts, classes = classed(docs, id_col, text_col)
-    return score(parts, classes, train(parts, classes, rounds), id_col)
+    parts, shape = classed(docs, id_col, text_col)
+    return score(parts, shape, train(parts, shape, rounds), id_col)
