@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ OFFSETS = (-2, -1, 1, 2)
 BATCH = 4096
 #: Documents are dealt to shards by a hash of their own, so many bytes of text a shard, or more where there would be more than MOST_SHARDS.
 SHARD_BYTES, MOST_SHARDS = 16 << 20, 20_000
+#: Logarithms of shares are kept as whole numbers of 1 / STEPS, of which 24 bits hold down to -64.
+STEPS = 1 << 18
 #: Weights are summed as whole numbers of 1 / FIXED, so that their mean doesn't depend on the order of the sum.
 FIXED = 1 << 16
 
@@ -36,8 +39,9 @@ class Numbers(dict):
 
 
 def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Blocks of documents: their ids, numbers of words, the words as places in the block's own list of words, that list, and its counts. Words are
-    what stands between ASCII white space, in lower case.
+    """Blocks of documents: their ids, numbers of words, the words as places in the block's own list of words, that list as hashes, and its counts.
+    Words are what stands between ASCII white space, in lower case; 64 bits tell them apart (of 10**8 words two share a hash with
+    probability 3e-4).
 
     A block is a run of BLOCK_BYTES (or one longer text) of a shard's documents in order of id and text. Shards and order depend on the rows alone, and
     so do the blocks, however the input is partitioned."""
@@ -46,7 +50,7 @@ def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shards = max(1, -(-total // max(SHARD_BYTES, total // MOST_SHARDS)))
     inner = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
     inner = inner.repartition(shards, "shard").sortWithinPartitions("shard", "id", "text")
-    schema = StructType().add("block", LongType()).add("ids", ArrayType(inner.schema["id"].dataType)).add("sizes", ArrayType(IntegerType())).add("codes", BinaryType()).add("words", ArrayType(BinaryType())).add("counts", ArrayType(LongType()))
+    schema = StructType().add("block", LongType()).add("ids", ArrayType(inner.schema["id"].dataType)).add("sizes", ArrayType(IntegerType())).add("codes", BinaryType()).add("words", ArrayType(LongType())).add("counts", ArrayType(IntegerType()))
     fields = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +62,8 @@ def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             split = [t.lower().split() for t in texts]
             sizes = [len(t) for t in split]
             codes = np.fromiter((numbers[w] for t in split for w in t), np.int32, sum(sizes))
-            row = [at, list(ids), sizes, zlib.compress(codes.tobytes(), 1), list(numbers), np.bincount(codes, minlength=len(numbers)).tolist()]
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
+            row = [at, list(ids), sizes, zlib.compress(codes.tobytes(), 1), hashes.view(np.int64), np.bincount(codes, minlength=len(numbers))]
             return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, fields, strict=True)], schema=fields)
 
         for batch in batches:
@@ -97,11 +102,11 @@ class Shape:
 
 
 def classed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Shape]:
-    """The blocks with, for each word of their lists, a key (its hash with its class in the low byte) and the logarithm of its share of all that is
-    found of its class and code, as a table in the shared folder; and the model's shape.
+    """The blocks with, for each word of their lists, its place << 32 | its class << 24 | the logarithm of its share of all that is found of its class
+    and code, as a table in the shared folder; and the model's shape.
 
-    The vocabulary, every word with its count over all documents, is a table there too: it grows with the documents, no two words share an entry,
-    and it meets the blocks' lists in a join on the word. The driver is given how many words have each count."""
+    The vocabulary, every word with its count over all documents, is a table there too: it grows with the documents and meets the blocks' lists in a
+    join on the word. The driver is given how many words have each count."""
     parts = written(coded(docs, id_col, text_col), "blocks")
     release(docs.sparkSession)
     lists = parts.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
@@ -109,15 +114,15 @@ def classed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Sha
     release(docs.sparkSession)
     shape = Shape([(r.n, r.m) for r in vocabulary.groupBy("n").agg(F.count("*").alias("m")).collect()])
     class_ = sum((F.when(F.col("n") < low, 1).otherwise(0) for low in shape.lows[:-1]), F.lit(0))
-    keyed = vocabulary.withColumn("key", F.shiftleft(F.shiftright(F.xxhash64("word"), 8), 8) + class_)
-    leaf = [F.col("key").bitwiseAND(255).alias("c"), F.shiftright("key", 8).bitwiseAND((1 << shape.bits) - 1).alias("code")]
-    mass = keyed.groupBy(*leaf).agg(F.sum("n").alias("mass"))
-    shared = keyed.select("word", "key", "n", *leaf).join(mass.hint("shuffle_hash"), ["c", "code"]).select("word", "key", F.log(F.col("n") / F.col("mass")).cast("float").alias("share"))
-    shared = written(shared, "shares")
-    own = lists.drop("n").join(shared.hint("shuffle_hash"), "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "key", "share"))).alias("x"))
-    own = own.select("block", F.col("x.key").alias("keys"), F.col("x.share").alias("shares"))
-    out = written(parts.drop("words", "counts").join(own, "block", "left").select("ids", "sizes", "codes", "keys", "shares"), "classed")
-    remove(parts, vocabulary, shared)
+    keyed = vocabulary.select("word", "n", class_.cast("long").alias("class"), F.col("word").bitwiseAND((1 << shape.bits) - 1).alias("code"))
+    mass = keyed.groupBy("class", "code").agg(F.sum("n").alias("mass"))
+    share = F.round(F.log(F.col("mass") / F.col("n")) * STEPS).cast("long")
+    shared = written(keyed.join(mass.hint("shuffle_hash"), ["class", "code"]).select("word", (F.shiftleft("class", 24) + share).alias("known")), "shares")
+    own = lists.drop("n").join(shared.hint("shuffle_hash"), "word").select("block", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("known")).alias("known"))
+    own = written(own.groupBy("block").agg(F.sort_array(F.collect_list("known")).alias("known")), "known")
+    release(docs.sparkSession)
+    out = written(parts.drop("counts").join(own, "block", "left").drop("block"), "classed")
+    remove(parts, vocabulary, shared, own)
     release(docs.sparkSession)
     return out, shape
 
@@ -126,16 +131,16 @@ class Block:
     """A block's texts as numbers of words; for each word its class, row of input weights, code bits and share."""
 
     def __init__(self, batch: pa.RecordBatch, k: int, shape: Shape):
-        ids, sizes, codes, keys, shares = (batch.column(i)[k] for i in range(5))
+        ids, sizes, codes, words, known = (batch.column(c)[k] for c in ("ids", "sizes", "codes", "words", "known"))
         self.ids, self.sizes = ids.values, sizes.values.to_numpy()
         self.tokens = np.frombuffer(zlib.decompress(codes.as_py()), np.int32)
-        key = keys.values.to_numpy() if keys.is_valid else np.empty(0, np.int64)
-        self.share = shares.values.to_numpy().astype(np.float64) if shares.is_valid else np.empty(0)
-        self.of = key & 255
-        code = (key >> 8) & ((1 << shape.bits) - 1)
-        self.bits = ((code[:, None] >> np.arange(shape.bits)) & 1).astype(np.float32)
+        word = words.values.to_numpy()
+        known = known.values.to_numpy() if known.is_valid else np.empty(0, np.int64)
+        self.share = (known & 0xFFFFFF) / -STEPS
+        self.of = (known >> 24) & 255
+        self.bits = ((word[:, None] >> np.arange(shape.bits)) & 1).astype(np.float32)
         # the row is chosen by other bits of the hash than the code
-        self.row = 1 + self.of * shape.rows + ((key >> 40) & (shape.rows - 1))
+        self.row = 1 + self.of * shape.rows + ((word >> 40) & (shape.rows - 1))
 
     def around(self) -> np.ndarray:
         """The rows of the tokens at each offset; row 0 is what lies beyond a text."""
