@@ -20,10 +20,13 @@ NULL_KEY = -(2**63)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a default is set only where there is none."""
+    """The folder of spark.checkpoint.dir, or the context's checkpoint folder; a default is set only where there is neither, and only where driver and
+    executors are one process: a cluster has no other place that all executors see, and this raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         had = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not had.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = had.get() if had.isDefined() else LOCAL_CHECKPOINTS
         if not had.isDefined():
             spark.sparkContext.setCheckpointDir(folder)
@@ -34,11 +37,32 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/pathloom/{what}-{uuid.uuid4().hex}"
 
 
+#: Lets Spark drop an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and lost executors cost nothing already written."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder: lineage ends there, and lost executors cost nothing already written. The shuffle files that
+    made it go at once, as nobody reads them again."""
+    spark = df.sparkSession
+    path, had = new_path(spark, what), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, had)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of df is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def remove(*tables: DataFrame) -> None:

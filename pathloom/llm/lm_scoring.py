@@ -17,8 +17,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 
 from .common import BLOCK_BYTES, release, remove, written
 
-#: Words fall into CLASSES of about equal mass by how often they are found; the network has HIDDEN units.
-CLASSES, HIDDEN = 64, 16
+#: Words fall into CLASSES of about equal mass by how often they are found, and the words of a class, level by level, into GROUPS by their hash; the
+#: network has HIDDEN units.
+CLASSES, GROUPS, HIDDEN = 32, 16, 16
 OFFSETS = (-2, -1, 1, 2)
 #: Tokens of a training step.
 BATCH = 4096
@@ -86,8 +87,11 @@ def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 class Shape:
     """How large the model is, from the histogram (count, words with it) of the vocabulary.
 
-    lows: the least count of each class that is used, downwards. bits: the length of the code that tells the words of a class apart, so that about
-    CLASSES words share one. rows: rows of input weights for each class, which grow with the square root of the vocabulary."""
+    lows: the least count of each class that is used, downwards. levels: how often the words of a class are divided into GROUPS, so that a leaf has about
+    one word; beyond MOST_LEVELS, where a table of all leaves is no small thing, leaves have more. rows: rows of input weights for each class, which
+    grow with the square root of the vocabulary. base: for each level the logarithms of the groups' masses, by class and groups above."""
+
+    MOST_LEVELS = 4
 
     def __init__(self, histogram: list[tuple[int, int]]):
         lows: dict[int, int] = {}
@@ -96,17 +100,27 @@ class Shape:
             lows[min(int(CLASSES * (done + n * m / 2) / total), CLASSES - 1)] = n
             done += n * m
         self.lows = list(lows.values())
-        words = sum(m for _, m in histogram)
-        self.bits = max(1, math.ceil(math.log2(max(words, 2) / CLASSES)))
-        self.rows = max(1, 1 << math.ceil(math.log2(max(words, 1) ** 0.5 / CLASSES))) if words > CLASSES**2 else 1
+        words = max(1, sum(m for _, m in histogram))
+        self.levels = max(1, min(self.MOST_LEVELS, round(math.log(words / CLASSES, GROUPS))))
+        self.rows = max(1, 1 << math.ceil(math.log2(words**0.5 / CLASSES))) if words > CLASSES**2 else 1
+        self.base: list[np.ndarray] = []
+
+    def weigh(self, leaf: np.ndarray, mass: np.ndarray) -> None:
+        """Take in the masses of the leaves, numbered class * GROUPS**levels + code."""
+        full = np.zeros(CLASSES * GROUPS**self.levels)
+        full[leaf] = mass
+        with np.errstate(divide="ignore"):
+            for level in range(self.levels + 1):
+                self.base.append(np.log(full.reshape(CLASSES * GROUPS**level, -1).sum(1)).astype(np.float32))
+        self.base = [self.base[0][None], *[b.reshape(-1, GROUPS) for b in self.base[1:]]]
 
 
 def classed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Shape]:
-    """The blocks with, for each word of their lists, its place << 32 | its class << 24 | the logarithm of its share of all that is found of its class
-    and code, as a table in the shared folder; and the model's shape.
+    """The blocks with, for each word of their lists, its place << 32 | its class << 24 | the logarithm of its share of all that is found in its
+    leaf, as a table in the shared folder; and the model's shape.
 
     The vocabulary, every word with its count over all documents, is a table there too: it grows with the documents and meets the blocks' lists in a
-    join on the word. The driver is given how many words have each count."""
+    join on the word. The driver is given how many words have each count, and the leaves' masses: CLASSES * GROUPS**MOST_LEVELS numbers at most."""
     parts = written(coded(docs, id_col, text_col), "blocks")
     release(docs.sparkSession)
     lists = parts.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
@@ -114,10 +128,13 @@ def classed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Sha
     release(docs.sparkSession)
     shape = Shape([(r.n, r.m) for r in vocabulary.groupBy("n").agg(F.count("*").alias("m")).collect()])
     class_ = sum((F.when(F.col("n") < low, 1).otherwise(0) for low in shape.lows[:-1]), F.lit(0))
-    keyed = vocabulary.select("word", "n", class_.cast("long").alias("class"), F.col("word").bitwiseAND((1 << shape.bits) - 1).alias("code"))
-    mass = keyed.groupBy("class", "code").agg(F.sum("n").alias("mass"))
+    leaves = GROUPS**shape.levels
+    keyed = vocabulary.select("word", "n", (class_.cast("long") * leaves + F.pmod("word", F.lit(leaves))).alias("leaf"))
+    mass = keyed.groupBy("leaf").agg(F.sum("n").alias("mass"))
+    got = mass.toArrow()
+    shape.weigh(got.column("leaf").to_numpy(), got.column("mass").to_numpy())
     share = F.round(F.log(F.col("mass") / F.col("n")) * STEPS).cast("long")
-    shared = written(keyed.join(mass.hint("shuffle_hash"), ["class", "code"]).select("word", (F.shiftleft("class", 24) + share).alias("known")), "shares")
+    shared = written(keyed.join(mass.hint("shuffle_hash"), "leaf").select("word", (F.shiftleft(F.floor(F.col("leaf") / leaves), 24) + share).alias("known")), "shares")
     own = lists.drop("n").join(shared.hint("shuffle_hash"), "word").select("block", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("known")).alias("known"))
     own = written(own.groupBy("block").agg(F.sort_array(F.collect_list("known")).alias("known")), "known")
     release(docs.sparkSession)
@@ -128,7 +145,7 @@ def classed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Sha
 
 
 class Block:
-    """A block's texts as numbers of words; for each word its class, row of input weights, code bits and share."""
+    """A block's texts as numbers of words; for each word its class, row of input weights, code and share."""
 
     def __init__(self, batch: pa.RecordBatch, k: int, shape: Shape):
         ids, sizes, codes, words, known = (batch.column(c)[k] for c in ("ids", "sizes", "codes", "words", "known"))
@@ -138,7 +155,7 @@ class Block:
         known = known.values.to_numpy() if known.is_valid else np.empty(0, np.int64)
         self.share = (known & 0xFFFFFF) / -STEPS
         self.of = (known >> 24) & 255
-        self.bits = ((word[:, None] >> np.arange(shape.bits)) & 1).astype(np.float32)
+        self.code = np.mod(word, GROUPS**shape.levels)
         # the row is chosen by other bits of the hash than the code
         self.row = 1 + self.of * shape.rows + ((word >> 40) & (shape.rows - 1))
 
@@ -151,53 +168,66 @@ class Block:
         return flat[place[:, None] + np.array(OFFSETS)]
 
 
+def log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
 class Network:
-    """Hidden units tanh(sum over offsets of the row for the token there, + bias); from them a softmax over classes and one logistic unit for each bit
-    of the code. A masked token's probability is that of its class, times those of its code's bits, times its share of what has both."""
+    """Hidden units tanh(sum over offsets of the row for the token there, + bias), which tilt the counts: a softmax over classes, and one over GROUPS for
+    each level, each added to the logarithms of the masses. A masked token's probability is that of its class, times that of its group at each
+    level given those above, times its share of its leaf. Without tilt it is the token's share of all tokens; all probabilities add up to one."""
 
     def __init__(self, shape: Shape, values: np.ndarray | None = None):
         self.shape = shape
-        shapes = [(len(OFFSETS), 1 + CLASSES * shape.rows, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES + shape.bits), (CLASSES + shape.bits,)]
+        shapes = [(len(OFFSETS), 1 + CLASSES * shape.rows, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES + GROUPS * shape.levels), (CLASSES + GROUPS * shape.levels,)]
         sizes = [int(np.prod(s)) for s in shapes]
         if values is None:
             rng = np.random.Generator(np.random.PCG64(11))
-            values = np.concatenate([rng.normal(0, 0.3, sizes[0]), np.zeros(sizes[1]), rng.normal(0, 0.3, sizes[2]), np.zeros(sizes[3])])
+            values = np.concatenate([rng.normal(0, 0.3, sizes[0]), np.zeros(sizes[1] + sizes[2] + sizes[3])])
         self.values = values.astype(np.float32)
         self.rows, self.shift, self.out, self.bias = [v.reshape(s) for v, s in zip(np.split(self.values, np.cumsum(sizes)[:-1]), shapes, strict=True)]
         self.squares = np.full_like(self.values, 1e-3)
 
-    def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hidden units, log-probabilities of the classes, logits of the bits)."""
+    def forward(self, around: np.ndarray, gold: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """(hidden units, log-probabilities of the classes and of the groups at each level on the way to the token, which of them the token is)."""
         h = self.shift + self.rows[0][around[:, 0]]
         for j in range(1, len(OFFSETS)):
             h += self.rows[j][around[:, j]]
         np.tanh(h, out=h)
         z = h @ self.out + self.bias
-        c, u = z[:, :CLASSES], z[:, CLASSES:]
-        c = c - c.max(1, keepdims=True)
-        c -= np.log(np.exp(c).sum(1, keepdims=True))
-        return h, c, u
-
-    def logs(self, around: np.ndarray, gold: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        """The log-probability of each token's class and code."""
-        _, c, u = self.forward(around)
-        return c[np.arange(len(gold)), gold] - np.logaddexp(0, (1 - 2 * bits) * u).sum(1)
-
-    def gradient(self, around: np.ndarray, gold: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        logs, own = [log_softmax(z[:, :CLASSES] + self.shape.base[0])], [gold]
+        node = gold
+        for level in range(self.shape.levels):
+            low = CLASSES + GROUPS * level
+            logs.append(log_softmax(z[:, low : low + GROUPS] + self.shape.base[level + 1][node]))
+            own.append(code // GROUPS ** (self.shape.levels - 1 - level) % GROUPS)
+            node = node * GROUPS + own[-1]
+        return h, logs, own
+
+    def logs(self, around: np.ndarray, gold: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The log-probability of each token's leaf."""
+        _, logs, own = self.forward(around, gold, code)
+        at = np.arange(len(gold))
+        return sum(p[at, k] for p, k in zip(logs, own, strict=True))
+
+    def gradient(self, around: np.ndarray, gold: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Of the mean of -logs()."""
-        h, c, u = self.forward(around)
-        d = np.concatenate([np.exp(c), 1 / (1 + np.exp(-u)) - bits], axis=1)
-        d[np.arange(len(gold)), gold] -= 1
-        d /= len(gold)
+        h, logs, own = self.forward(around, gold, code)
+        at = np.arange(len(gold))
+        for p, k in zip(logs, own, strict=True):
+            np.exp(p, out=p)
+            p[at, k] -= 1
+        d = np.concatenate(logs, axis=1) / len(gold)
         back = (d @ self.out.T) * (1 - h * h)
         unit = np.arange(HIDDEN)
         size = self.rows[0].size
         rows = [np.bincount((around[:, j, None] * HIDDEN + unit).ravel(), weights=back.ravel(), minlength=size) for j in range(len(OFFSETS))]
         return np.concatenate([*rows, back.sum(0), (h.T @ d).ravel(), d.sum(0)]).astype(np.float32)
 
-    def step(self, around: np.ndarray, gold: np.ndarray, bits: np.ndarray, rate: float) -> None:
+    def step(self, around: np.ndarray, gold: np.ndarray, code: np.ndarray, rate: float) -> None:
         """One step down the mean loss, each weight by its own squares so far."""
-        g = self.gradient(around, gold, bits)
+        g = self.gradient(around, gold, code)
         self.squares += g * g
         self.values -= rate * g / np.sqrt(self.squares)
 
@@ -220,7 +250,7 @@ def train(parts: DataFrame, shape: Shape, rounds: int = 2, rate: float = 0.05) -
                     around = block.around()
                     for at in range(0, len(around), BATCH):
                         tokens = block.tokens[at : at + BATCH]
-                        own.step(around[at : at + BATCH], block.of[tokens], block.bits[tokens], rate)
+                        own.step(around[at : at + BATCH], block.of[tokens], block.code[tokens], rate)
                     weight = -(-len(around) >> 10)
                     sums[:-1] += np.rint(own.values.astype(np.float64) * FIXED).astype(np.int64) * weight
                     sums[-1] += FIXED * weight
@@ -251,7 +281,7 @@ def score(parts: DataFrame, shape: Shape, network: Network, id_col: str = "doc_i
                 around, logs = block.around(), block.share[block.tokens]
                 for at in range(0, len(around), BATCH):
                     tokens = block.tokens[at : at + BATCH]
-                    logs[at : at + BATCH] += net.logs(around[at : at + BATCH], block.of[tokens], block.bits[tokens])
+                    logs[at : at + BATCH] += net.logs(around[at : at + BATCH], block.of[tokens], block.code[tokens])
                 sizes = block.sizes
                 sums = np.diff(np.append(0.0, np.cumsum(logs))[np.append(0, np.cumsum(sizes))])
                 columns = [block.ids, sizes, sums, [x / n if n else None for x, n in zip(sums.tolist(), sizes.tolist(), strict=True)]]
