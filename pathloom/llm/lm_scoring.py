@@ -64,7 +64,13 @@ def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sizes = [len(t) for t in split]
             codes = np.fromiter((numbers[w] for t in split for w in t), np.int32, sum(sizes))
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
-            row = [at, list(ids), sizes, zlib.compress(codes.tobytes(), 1), hashes.view(np.int64), np.bincount(codes, minlength=len(numbers))]
+            counts = np.bincount(codes, minlength=len(numbers))
+            # frequent words get small numbers, and the bytes of numbers stand by their weight: both compress well
+            order = np.argsort(-counts, kind="stable")
+            place = np.empty(len(order), dtype=np.int32)
+            place[order] = np.arange(len(order))
+            planes = np.ascontiguousarray(place[codes].view(np.uint8).reshape(-1, 4).T)
+            row = [at, list(ids), sizes, zlib.compress(planes.tobytes(), 1), hashes[order].view(np.int64), counts[order]]
             return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, fields, strict=True)], schema=fields)
 
         for batch in batches:
@@ -89,7 +95,8 @@ class Shape:
 
     lows: the least count of each class that is used, downwards. levels: how often the words of a class are divided into GROUPS, so that a leaf has about
     one word; beyond MOST_LEVELS, where a table of all leaves is no small thing, leaves have more. rows: rows of input weights for each class, which
-    grow with the square root of the vocabulary. base: for each level the logarithms of the groups' masses, by class and groups above."""
+    grow with the square root of the vocabulary. base: for each level the logarithms of the groups' shares of
+    what they are part of."""
 
     MOST_LEVELS = 4
 
@@ -102,7 +109,7 @@ class Shape:
         self.lows = list(lows.values())
         words = max(1, sum(m for _, m in histogram))
         self.levels = max(1, min(self.MOST_LEVELS, round(math.log(words / CLASSES, GROUPS))))
-        self.rows = max(1, 1 << math.ceil(math.log2(words**0.5 / CLASSES))) if words > CLASSES**2 else 1
+        self.rows = max(1, min(1 << 16, 1 << math.ceil(math.log2(words**0.5 / CLASSES)))) if words > CLASSES**2 else 1
         self.base: list[np.ndarray] = []
 
     def weigh(self, leaf: np.ndarray, mass: np.ndarray) -> None:
@@ -111,13 +118,14 @@ class Shape:
         full[leaf] = mass
         with np.errstate(divide="ignore"):
             for level in range(self.levels + 1):
-                self.base.append(np.log(full.reshape(CLASSES * GROUPS**level, -1).sum(1)).astype(np.float32))
-        self.base = [self.base[0][None], *[b.reshape(-1, GROUPS) for b in self.base[1:]]]
+                mass = full.reshape(-1, CLASSES if not level else GROUPS, GROUPS ** (self.levels - level)).sum(2)
+                self.base.append(np.log(mass / np.maximum(mass.sum(1, keepdims=True), 1)).astype(np.float32))
 
 
 def classed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Shape]:
-    """The blocks with, for each word of their lists, its place << 32 | its class << 24 | the logarithm of its share of all that is found in its
-    leaf, as a table in the shared folder; and the model's shape.
+    """The blocks with what is known of each word of their lists, in one number, as a table in the shared folder; and the model's shape. The number has,
+    from the top, 8 bits for the class, 16 of the word's hash that choose its row, 16 for its code, which numbers the leaves of a class, and 24 for
+    the logarithm of its share of all that is found in its leaf.
 
     The vocabulary, every word with its count over all documents, is a table there too: it grows with the documents and meets the blocks' lists in a
     join on the word. The driver is given how many words have each count, and the leaves' masses: CLASSES * GROUPS**MOST_LEVELS numbers at most."""
@@ -134,11 +142,11 @@ def classed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Sha
     got = mass.toArrow()
     shape.weigh(got.column("leaf").to_numpy(), got.column("mass").to_numpy())
     share = F.round(F.log(F.col("mass") / F.col("n")) * STEPS).cast("long")
-    shared = written(keyed.join(mass.hint("shuffle_hash"), "leaf").select("word", (F.shiftleft(F.floor(F.col("leaf") / leaves), 24) + share).alias("known")), "shares")
-    own = lists.drop("n").join(shared.hint("shuffle_hash"), "word").select("block", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("known")).alias("known"))
-    own = written(own.groupBy("block").agg(F.sort_array(F.collect_list("known")).alias("known")), "known")
-    release(docs.sparkSession)
-    out = written(parts.drop("counts").join(own, "block", "left").drop("block"), "classed")
+    top = F.shiftleft(F.floor(F.col("leaf") / leaves), 56) + F.shiftleft(F.shiftright("word", 40).bitwiseAND(0xFFFF), 40) + F.shiftleft(F.pmod("leaf", F.lit(leaves)), 24)
+    shared = written(keyed.join(mass.hint("shuffle_hash"), "leaf").select("word", (top + share).alias("known")), "shares")
+    own = lists.drop("n").join(shared.hint("shuffle_hash"), "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "known"))).alias("x"))
+    own = written(own.select("block", F.col("x.known").alias("known")), "known")
+    out = written(parts.drop("words", "counts").join(own, "block", "left").drop("block"), "classed")
     remove(parts, vocabulary, shared, own)
     release(docs.sparkSession)
     return out, shape
@@ -148,16 +156,13 @@ class Block:
     """A block's texts as numbers of words; for each word its class, row of input weights, code and share."""
 
     def __init__(self, batch: pa.RecordBatch, k: int, shape: Shape):
-        ids, sizes, codes, words, known = (batch.column(c)[k] for c in ("ids", "sizes", "codes", "words", "known"))
+        ids, sizes, codes, known = (batch.column(c)[k] for c in ("ids", "sizes", "codes", "known"))
         self.ids, self.sizes = ids.values, sizes.values.to_numpy()
-        self.tokens = np.frombuffer(zlib.decompress(codes.as_py()), np.int32)
-        word = words.values.to_numpy()
+        planes = np.frombuffer(zlib.decompress(codes.as_py()), np.uint8).reshape(4, -1)
+        self.tokens = np.ascontiguousarray(planes.T).view(np.int32).ravel()
         known = known.values.to_numpy() if known.is_valid else np.empty(0, np.int64)
-        self.share = (known & 0xFFFFFF) / -STEPS
-        self.of = (known >> 24) & 255
-        self.code = np.mod(word, GROUPS**shape.levels)
-        # the row is chosen by other bits of the hash than the code
-        self.row = 1 + self.of * shape.rows + ((word >> 40) & (shape.rows - 1))
+        self.of, self.code, self.share = known >> 56, (known >> 24) & 0xFFFF, (known & 0xFFFFFF) / -STEPS
+        self.row = 1 + self.of * shape.rows + ((known >> 40) & (shape.rows - 1))
 
     def around(self) -> np.ndarray:
         """The rows of the tokens at each offset; row 0 is what lies beyond a text."""
@@ -168,9 +173,25 @@ class Block:
         return flat[place[:, None] + np.array(OFFSETS)]
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+#: Rows that a product of matrices takes at a time: few enough that the library stays on one core, as each task has its own.
+STACK = 128
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b for a tall a."""
+    whole = len(a) - len(a) % STACK
+    out = np.empty((len(a), b.shape[1]), dtype=np.float32)
+    if whole:
+        np.matmul(a[:whole].reshape(-1, STACK, a.shape[1]), b, out=out[:whole].reshape(-1, STACK, b.shape[1]))
+    out[whole:] = a[whole:] @ b
+    return out
+
+
+def across(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b for tall a and b."""
+    whole = len(a) - len(a) % STACK
+    stacks = np.matmul(a[:whole].reshape(-1, STACK, a.shape[1]).transpose(0, 2, 1), b[:whole].reshape(-1, STACK, b.shape[1]))
+    return stacks.sum(0) + a[whole:].T @ b[whole:]
 
 
 class Network:
@@ -189,41 +210,46 @@ class Network:
         self.rows, self.shift, self.out, self.bias = [v.reshape(s) for v, s in zip(np.split(self.values, np.cumsum(sizes)[:-1]), shapes, strict=True)]
         self.squares = np.full_like(self.values, 1e-3)
 
-    def forward(self, around: np.ndarray, gold: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """(hidden units, log-probabilities of the classes and of the groups at each level on the way to the token, which of them the token is)."""
+    def forward(self, around: np.ndarray, gold: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """(hidden units, for the classes and for the groups at each level: their logarithms with tilt, not yet made to add up, and which the token is)."""
         h = self.shift + self.rows[0][around[:, 0]]
         for j in range(1, len(OFFSETS)):
             h += self.rows[j][around[:, j]]
         np.tanh(h, out=h)
-        z = h @ self.out + self.bias
-        logs, own = [log_softmax(z[:, :CLASSES] + self.shape.base[0])], [gold]
-        node = gold
+        z = times(h, self.out)
+        z += self.bias
+        parts, node, low = [(z[:, :CLASSES] + self.shape.base[0], gold)], gold, CLASSES
         for level in range(self.shape.levels):
-            low = CLASSES + GROUPS * level
-            logs.append(log_softmax(z[:, low : low + GROUPS] + self.shape.base[level + 1][node]))
-            own.append(code // GROUPS ** (self.shape.levels - 1 - level) % GROUPS)
-            node = node * GROUPS + own[-1]
-        return h, logs, own
+            own = code // GROUPS ** (self.shape.levels - 1 - level) % GROUPS
+            parts.append((z[:, low : low + GROUPS] + self.shape.base[level + 1][node], own))
+            node, low = node * GROUPS + own, low + GROUPS
+        return h, parts
 
     def logs(self, around: np.ndarray, gold: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The log-probability of each token's leaf."""
-        _, logs, own = self.forward(around, gold, code)
-        at = np.arange(len(gold))
-        return sum(p[at, k] for p, k in zip(logs, own, strict=True))
+        at, out = np.arange(len(gold)), np.zeros(len(gold))
+        for z, own in self.forward(around, gold, code)[1]:
+            out += z[at, own] - np.log(np.einsum("ij->i", np.exp(z)))
+        return out
 
     def gradient(self, around: np.ndarray, gold: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Of the mean of -logs()."""
-        h, logs, own = self.forward(around, gold, code)
-        at = np.arange(len(gold))
-        for p, k in zip(logs, own, strict=True):
-            np.exp(p, out=p)
-            p[at, k] -= 1
-        d = np.concatenate(logs, axis=1) / len(gold)
-        back = (d @ self.out.T) * (1 - h * h)
+        h, parts = self.forward(around, gold, code)
+        at, d = np.arange(len(gold)), np.empty((len(gold), self.out.shape[1]), dtype=np.float32)
+        low = 0
+        for z, own in parts:
+            p = np.exp(z, out=d[:, low : low + z.shape[1]])
+            p *= (1 / np.einsum("ij->i", p))[:, None]
+            p[at, own] -= 1
+            low += z.shape[1]
+        d *= 1 / len(gold)
+        back = times(d, np.ascontiguousarray(self.out.T))
+        back *= 1 - h * h
         unit = np.arange(HIDDEN)
         size = self.rows[0].size
-        rows = [np.bincount((around[:, j, None] * HIDDEN + unit).ravel(), weights=back.ravel(), minlength=size) for j in range(len(OFFSETS))]
-        return np.concatenate([*rows, back.sum(0), (h.T @ d).ravel(), d.sum(0)]).astype(np.float32)
+        first, weights = around * HIDDEN, back.ravel().astype(np.float64)
+        rows = [np.bincount((first[:, j, None] + unit).ravel(), weights=weights, minlength=size) for j in range(len(OFFSETS))]
+        return np.concatenate([*rows, back.sum(0), across(h, d).ravel(), d.sum(0)]).astype(np.float32)
 
     def step(self, around: np.ndarray, gold: np.ndarray, code: np.ndarray, rate: float) -> None:
         """One step down the mean loss, each weight by its own squares so far."""
@@ -232,7 +258,7 @@ class Network:
         self.values -= rate * g / np.sqrt(self.squares)
 
 
-def train(parts: DataFrame, shape: Shape, rounds: int = 2, rate: float = 0.05) -> Network:
+def train(parts: DataFrame, shape: Shape, rounds: int = 1, rate: float = 0.05) -> Network:
     """The network after so many rounds over all documents. In a round each block goes on from the common weights over its own texts, and the new
     common weights are the blocks' means by their number of tokens: sums by weight, as many as the network has. As blocks depend on the rows alone
     and sums are of whole numbers, so do the weights."""
@@ -290,7 +316,7 @@ def score(parts: DataFrame, shape: Shape, network: Network, id_col: str = "doc_i
     return parts.mapInArrow(run, schema)
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
     """Score every document under a network trained on all of them; see score().
 
     Null and empty texts have no tokens, likelihood 0 and no mean. Rows that repeat count as often as they stand. An empty table gives an empty

@@ -25,11 +25,13 @@ def plain_log(net, shape, around, gold, code):
     """One token, by sums over plain numbers: tilted masses, level by level."""
     hidden = [math.tanh(net.shift[u] + sum(net.rows[j][r][u] for j, r in enumerate(around))) for u in range(lm_scoring.HIDDEN)]
     tilt = [math.exp(net.bias[k] + sum(h * net.out[u][k] for u, h in enumerate(hidden))) for k in range(net.out.shape[1])]
-    mass = np.exp(shape.base[2].astype(float)).reshape(lm_scoring.CLASSES, 16, 16)
+    classes = np.exp(shape.base[0][0].astype(float))
+    groups, leaves = (np.exp(shape.base[k].astype(float)) for k in (1, 2))
+    top = lm_scoring.CLASSES
     a, b = divmod(int(code), 16)
-    p = [m.sum() * t for m, t in zip(mass, tilt, strict=False)]
-    q = [m.sum() * t for m, t in zip(mass[gold], tilt[64:80], strict=True)]
-    r = [m * t for m, t in zip(mass[gold][a], tilt[80:], strict=True)]
+    p = [m * t for m, t in zip(classes, tilt, strict=False)]
+    q = [m * t for m, t in zip(groups[gold], tilt[top : top + 16], strict=True)]
+    r = [m * t for m, t in zip(leaves[gold * 16 + a], tilt[top + 16 :], strict=True)]
     return math.log(p[gold] / sum(p)) + math.log(q[a] / sum(q)) + math.log(r[b] / sum(r))
 
 
