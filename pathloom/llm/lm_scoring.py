@@ -21,8 +21,8 @@ from .common import BLOCK_BYTES, release, remove, written
 #: network has HIDDEN units.
 CLASSES, GROUPS, HIDDEN = 32, 16, 16
 OFFSETS = (-2, -1, 1, 2)
-#: Tokens of a training step.
-BATCH = 4096
+#: Tokens of a training step, and those scored at a time.
+BATCH, SCORED = 4096, 1024
 #: Documents are dealt to shards by a hash of their own, so many bytes of text a shard, or more where there would be more than MOST_SHARDS.
 SHARD_BYTES, MOST_SHARDS = 16 << 20, 20_000
 #: Logarithms of shares are kept as whole numbers of 1 / STEPS, of which 24 bits hold down to -64.
@@ -109,7 +109,7 @@ class Shape:
         self.lows = list(lows.values())
         words = max(1, sum(m for _, m in histogram))
         self.levels = max(1, min(self.MOST_LEVELS, round(math.log(words / CLASSES, GROUPS))))
-        self.rows = max(1, min(1 << 16, 1 << math.ceil(math.log2(words**0.5 / CLASSES)))) if words > CLASSES**2 else 1
+        self.rows = max(1, min(1 << 16, 1 << math.ceil(math.log2(words**0.5 / CLASSES / 4)))) if words > 16 * CLASSES**2 else 1
         self.base: list[np.ndarray] = []
 
     def weigh(self, leaf: np.ndarray, mass: np.ndarray) -> None:
@@ -305,9 +305,9 @@ def score(parts: DataFrame, shape: Shape, network: Network, id_col: str = "doc_i
             for k in range(batch.num_rows):
                 block = Block(batch, k, shape)
                 around, logs = block.around(), block.share[block.tokens]
-                for at in range(0, len(around), BATCH):
-                    tokens = block.tokens[at : at + BATCH]
-                    logs[at : at + BATCH] += net.logs(around[at : at + BATCH], block.of[tokens], block.code[tokens])
+                for at in range(0, len(around), SCORED):
+                    tokens = block.tokens[at : at + SCORED]
+                    logs[at : at + SCORED] += net.logs(around[at : at + SCORED], block.of[tokens], block.code[tokens])
                 sizes = block.sizes
                 sums = np.diff(np.append(0.0, np.cumsum(logs))[np.append(0, np.cumsum(sizes))])
                 columns = [block.ids, sizes, sums, [x / n if n else None for x, n in zip(sums.tolist(), sizes.tolist(), strict=True)]]
