@@ -37,20 +37,23 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/pathloom/{what}-{uuid.uuid4().hex}"
 
 
+#: Tables written by this process that are still there, in order.
+_WRITTEN: list[str] = []
 #: Lets Spark drop an execution's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and lost executors cost nothing already written. The shuffle files that
-    made it go at once, as nobody reads them again."""
+def written(df: DataFrame, what: str, *by: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, with a folder for each value of the columns in by: lineage ends there, and lost executors cost nothing
+    already written. The shuffle files that made it go at once, as nobody reads them again."""
     spark = df.sparkSession
     path, had = new_path(spark, what), spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(CLEANUP, had)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,13 +68,34 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove(*tables: DataFrame) -> None:
     """Delete written tables that no later plan reads."""
     for df in tables:
-        jvm = df.sparkSession._jvm
         for file in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            # with a folder for each value, the files lie deeper
+            folder = "/".join([x for x in file.rsplit("/", 1)[0].split("/") if "=" not in x])
+            _delete(df.sparkSession, folder)
+            _WRITTEN[:] = [p for p in _WRITTEN if p.rsplit("/", 1)[1] != folder.rsplit("/", 1)[1]]
+
+
+def mark() -> int:
+    """A moment, for clear()."""
+    return len(_WRITTEN)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the tables written since then, but for one. Operators return plans that read their tables, so these stay until the caller, who knows when
+    the results have been used, clears them."""
+    kept = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()[:1]} if keep is not None else set()
+    for path in _WRITTEN[since:]:
+        if path.rsplit("/", 1)[1] not in kept:
+            _delete(spark, path)
+    _WRITTEN[since:] = [p for p in _WRITTEN[since:] if p.rsplit("/", 1)[1] in kept]
 
 
 def release(spark: SparkSession) -> None:
@@ -86,7 +110,7 @@ def lower_ascii(text: Column) -> Column:
 
 
 def order_key(id_col: str) -> Column:
-    """An integer id as a join and order key without nulls."""
+    """An integer id as a join and order key without nulls; ids that are no integers raise."""
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY))
 
 

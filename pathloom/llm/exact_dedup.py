@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, order_key, written
+from .common import free_names, lower_ascii, written
 
-#: Runs at the leaves of the merge tree, and runs that one merge takes.
-RUNS, FANOUT = 64, 8
+#: Rounds of the merge tree; 2**ROUNDS runs are its leaves.
+ROUNDS = 4
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold_case: bool = True) -> DataFrame:
@@ -20,21 +20,19 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def merge_runs(rows: DataFrame, keep: str = "max", runs: int = RUNS, fanout: int = FANOUT) -> DataFrame:
-    """(sha, n, check, best, size): for each text the row that stays, by rounds in which fanout runs meet and merge.
+def merge_runs(rows: DataFrame, keep: str = "max", rounds: int = ROUNDS) -> DataFrame:
+    """(sha, n, check, best, size): for each text the row that stays, by a binomial tree: in round k each run whose bit k is set goes to the run without
+    it, which merges the two.
 
-    A leaf run is what some tasks have read, sorted and merged by digest before it moves (Spark's map-side aggregate). In each round run k
-    goes to run k // fanout, dealt out by digest as well, so that a round has as many tasks as the cluster has and a digest that a third of
-    all rows share arrives as one row a task. A run keeps, for each digest, the smallest (or largest) identifier and the number of rows. The
-    digest counts as verified as length and a second hash of another family are part of the key at every level: rows that differ there
-    never merge.
+    A leaf run is what some tasks have read. Within a run digests are dealt over all tasks, and each task sorts and merges its share before it moves
+    (Spark's sort aggregate, on both sides of the exchange), so a digest that a third of all rows share arrives as one row a task. At every level a
+    run keeps, for each digest, the smallest (or largest) identifier and the number of rows. A digest counts as verified as length and a second hash
+    of another family are part of the key at every level: rows that differ there never merge.
     """
     pick = F.max if keep == "max" else F.min
-    level = rows.select(F.pmod(F.spark_partition_id(), F.lit(runs)).alias("run"), "sha", "n", "check", F.struct("id", "row").alias("best"), F.lit(1).cast("long").alias("size"))
-    left = runs
-    while left > 1:
-        left = -(-left // fanout)
-        level = level.withColumn("run", F.floor(F.col("run") / fanout)).groupBy("run", "sha", "n", "check").agg(pick("best").alias("best"), F.sum("size").alias("size")).sortWithinPartitions("run", "sha")
+    level = rows.select(F.pmod(F.spark_partition_id(), F.lit(1 << rounds)).alias("run"), "sha", "n", "check", F.struct("id", "row").alias("best"), F.lit(1).cast("long").alias("size"))
+    for k in range(rounds):
+        level = level.withColumn("run", F.col("run").bitwiseAND(~(1 << k))).groupBy("run", "sha", "n", "check").agg(pick("best").alias("best"), F.sum("size").alias("size"))
     return level.drop("run")
 
 
@@ -53,7 +51,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fold_case: bool = True) -> DataFrame:
-    """The input rows that stay, all columns as they were. Of rows that repeat id and text one stays."""
-    kept = exact_dedup(docs, id_col, text_col, keep, fold_case).where("kept").select(order_key(id_col).alias("_key"))
-    left = docs.withColumn("_key", order_key(id_col)).join(kept.hint("shuffle_hash"), "_key", "left_semi")
-    return left.dropDuplicates(["_key", text_col]).select(docs.columns)
+    """The input rows that stay, all columns as they were, whatever they are called. Rows are known by id and digest, so an id that stands for several
+    texts keeps those that stay. Of rows that repeat id and text one stays. Null and empty texts are one group, a null id is below every other, and an
+    empty table gives an empty result."""
+    key, digest = free_names(docs, "key", "digest")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.withColumn(digest, F.sha2(lower_ascii(text) if fold_case else text, 256))
+    kept = exact_dedup(docs, id_col, text_col, keep, fold_case).where("kept").select(F.col(id_col).alias(key), F.col("text_sha256").alias(f"{digest}2"))
+    left = rows.join(kept.hint("shuffle_hash"), (F.col(digest) == F.col(f"{digest}2")) & F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
+    return left.dropDuplicates([id_col, digest]).select(docs.columns)

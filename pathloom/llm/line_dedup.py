@@ -84,9 +84,10 @@ class LineRuns:
 
 
 def shared_lines(docs: DataFrame, id_col: str, text_col: str, documents: int, least: int, batches: int) -> tuple[DataFrame, LineRuns, DataFrame]:
-    """The (id, hash) table, the runs, and the hashes found in so many documents. The rows come in batches by document."""
+    """The (id, hash) table, the runs, and the hashes found in so many documents. The rows come in batches by document,
+    each a folder of the table, so a batch reads its own rows alone. Null and empty texts have no rows, nor have empty tables; a null id is one document."""
     spark = docs.sparkSession
-    table = written(line_hashes(docs, id_col, text_col, least).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches))).distinct(), "line-hashes")
+    table = written(line_hashes(docs, id_col, text_col, least).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches))).distinct(), "line-hashes", "batch")
     runs = LineRuns(spark, documents)
     for b in range(batches):
         runs.add(table.where(F.col("batch") == b).select("hash"))
@@ -104,7 +105,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table, _, frequent = shared_lines(docs, id_col, text_col, documents, least, batches)
     # both sides are dealt by hash, and Spark splits the partition of a line that a third of all documents have
     hit = table.join(frequent, "hash").groupBy("id").agg(F.collect_set("hash").alias("drop"))
-    joined = docs.select(F.col(id_col), F.col(text_col), order_key(id_col).alias("id")).join(hit.hint("shuffle_hash"), "id", "left")
+    joined = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"), order_key(id_col).alias("id")).join(hit.hint("shuffle_hash"), "id", "left")
     schema = "n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * texts
 
     def make():
@@ -121,4 +122,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return f
 
-    return map_texts(joined, [F.col(id_col), F.col("drop")], text_col, make, schema).drop("_k1").withColumnRenamed("_k0", id_col)
+    return map_texts(joined, [F.col("own"), F.col("drop")], "text", make, schema).drop("_k1").withColumnRenamed("_k0", id_col)

@@ -173,10 +173,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a row for each class: that of its smallest id
     nodes = rows.where("n > 0").join(classes.select(F.col("node").alias("id"), "set_key"), ["id", "set_key"], "left_semi").dropDuplicates(["id"])
     nodes = written(nodes.select(F.col("id").alias("node"), "n", "bits0", "bits1", "bands"), "classes")
-    texts = docs.select(F.col(id_col), F.col(text_col), order_key(id_col).alias("node"))
+    texts = docs.select(F.col(text_col).alias("text"), order_key(id_col).alias("node"))
 
     def sets_of(wanted: DataFrame, deep: bool = False) -> DataFrame:
-        return written(whole_sets(texts.join(wanted.distinct().hint("shuffle_hash"), "node", "left_semi"), id_col, text_col, k, deep).dropDuplicates(["id"]), "sets")
+        return written(whole_sets(texts.join(wanted.distinct().hint("shuffle_hash"), "node", "left_semi"), "node", "text", k, deep).dropDuplicates(["id"]), "sets")
 
     label = F.coalesce(F.col("label"), F.col("node")).alias("label")
     placed = nodes.withColumn("label", F.col("node"))

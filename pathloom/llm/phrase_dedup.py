@@ -290,7 +290,7 @@ def phrase_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     before they are compared, so that no trigger is one task's own.
     """
     ranges = repeated_ranges(docs, id_col, text_col)
-    joined = docs.select(F.col(id_col), F.col(text_col), order_key(id_col).alias("id")).join(ranges.hint("shuffle_hash"), "id", "left")
+    joined = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"), order_key(id_col).alias("id")).join(ranges.hint("shuffle_hash"), "id", "left")
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
 
     def make():
@@ -314,4 +314,4 @@ def phrase_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return f
 
-    return map_texts(joined, [F.col(id_col), F.col("ranges")], text_col, make, schema).drop("_k1").withColumnRenamed("_k0", id_col)
+    return map_texts(joined, [F.col("own"), F.col("ranges")], "text", make, schema).drop("_k1").withColumnRenamed("_k0", id_col)
