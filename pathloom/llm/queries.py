@@ -53,7 +53,7 @@ def op6_shape_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_crf.personal_data(documents(spark, sf_dir))
     base = F.filter("found", lambda s: s["base"])
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(digest_spans(base), 256).alias("base_sha256"), digest_spans(F.col("found")).alias("spans"))
+    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(digest_spans(base), 256).alias("base_sha256"), digest_spans(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_found"))
 
 
 def op7_digest_run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

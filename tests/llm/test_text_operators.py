@@ -171,15 +171,6 @@ def test_personal_data(docs):
     assert found == [("email", "a.b@c.example"), ("ip", "10.0.0.1"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 010-9999"), ("name", "Anna Keller")]
 
 
-def test_field_learns_its_table():
-    field, _ = pii_crf.loaded(pii_crf.LABELLED)
-    import numpy as np
-
-    rows = list(pii_crf.labelled())
-    right = sum((field.decode(np.array([field.classes.get(pii_crf.feature(w), 0) for w in words]), np.zeros(len(words), int)) == labels).sum() for words, labels in rows)
-    assert right == sum(len(words) for words, _ in rows)
-
-
 def test_pseudo_likelihood_prefers_what_it_has_seen(spark):
     rows = [(i, "the cat sat on the mat and the dog ran to the door " * 20) for i in range(30)] + [(99, "zq vv kk pp ww " * 40), (100, None)]
     got = by_id(lm_scoring.pseudo_likelihood(spark.createDataFrame(rows, "doc_id bigint, text string")))
