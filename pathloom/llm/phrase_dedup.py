@@ -18,8 +18,9 @@ WINDOW, GRAM = 100, 40
 SPREAD = WINDOW - GRAM + 1
 #: Bytes parsed at a time; a longer text is cut there, which makes a few more phrases and no other difference.
 SEGMENT = 1 << 20
-#: Bits of the filter for repeated triggers: a fixed 8 MB. Where so many repeat that it is full, it lets all pass; the result is the same.
-FILTER_BITS = 1 << 26
+#: Bits of the filters for repeated triggers: a number for each, up to 32 MB a filter. Where more repeat than that holds, it lets more pass; the result
+#: is the same.
+BITS_EACH, MOST_BITS = 8, 1 << 28
 #: Windows put in order at a time, at least, and phrases with one trigger beyond which they are opened before they are dealt out.
 OPENED, CROWDED = 20_000, 4_000
 _RNG = np.random.Generator(np.random.PCG64(77))
@@ -43,55 +44,66 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def parse(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(trigger hashes, first windows, numbers of windows) of the phrases in data, which holds texts that end at ends.
+def least_in_windows(key: np.ndarray) -> np.ndarray:
+    width = 1
+    while 2 * width <= SPREAD:
+        key = np.minimum(key[:-width], key[width:])
+        width *= 2
+    return np.minimum(key[: len(key) - (SPREAD - width)], key[SPREAD - width :]) if width < SPREAD else key
+
+
+def parse(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(trigger hashes, first windows, numbers of windows, whether the trigger is found more than once) of the phrases in data, which holds texts that
+    end at ends.
 
-    The windows of a phrase are those that choose its trigger; a window begins at each byte that has WINDOW bytes of its text from there on.
+    The windows of a phrase follow each other and have the same trigger hash; a window begins at each byte that has WINDOW bytes of its text from
+    there on. Where bytes repeat at short distances a hash stays the least one for long: such a run is cut every SPREAD windows, so it makes no
+    more phrases than other text.
     """
     n = len(data)
     empty = np.empty(0, np.int64)
     if n < WINDOW:
-        return empty, empty, empty
+        return empty, empty, empty, empty
     up, down = powers()
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(LETTERS[data] * up[:n], out=total[1:])
     gram = mixed((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
-    # the place in the low bits: of equal hashes the leftmost is taken
+    # the place in the low bits: of equal hashes the leftmost is taken, and the rightmost
     low = np.uint64((1 << 21) - 1)
-    key = (gram & ~low) | np.arange(len(gram), dtype=np.uint64)
-    width = 1
-    while 2 * width <= SPREAD:
-        key = np.minimum(key[:-width], key[width:])
-        width *= 2
-    if width < SPREAD:
-        key = np.minimum(key[: len(key) - (SPREAD - width)], key[SPREAD - width :])
-    trigger = (key & low).astype(np.int64)
+    place = np.arange(len(gram), dtype=np.uint64)
+    trigger = (least_in_windows((gram & ~low) | place) & low).astype(np.int64)
+    rightmost = (low - (least_in_windows((gram & ~low) | (low - place)) & low)).astype(np.int64)
+    value = gram[trigger]
     fits = np.zeros(len(trigger), dtype=bool)
     begin = 0
     for end in ends.tolist():
         fits[begin : max(begin, end - WINDOW + 1)] = True
         begin = end
-    change = np.flatnonzero(np.append(True, (trigger[1:] != trigger[:-1]) | (fits[1:] != fits[:-1])))
+    change = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (fits[1:] != fits[:-1])))
     size = np.diff(np.append(change, len(trigger)))
     good = fits[change]
-    first = change[good]
-    return gram[trigger[first]].view(np.int64), first, size[good]
+    first, size = change[good], size[good]
+    again = trigger[first] != rightmost[first + size - 1]
+    parts = -(-size // SPREAD)
+    k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin, whole = np.repeat(first, parts) + k * SPREAD, np.repeat(size, parts)
+    return value[begin].view(np.int64), begin, np.minimum(whole - k * SPREAD, SPREAD), np.repeat(again, parts)
 
 
 def phrases(texts: list[bytes | None]):
     """For each run of texts of about SEGMENT bytes: (buffer, trigger hashes, text numbers, places in the text, numbers of windows, places in the
-    buffer)."""
+    buffer, whether the trigger is found again in the phrase)."""
     held: list[tuple[int, int, bytes]] = []
     total = 0
 
     def parsed():
         buffer = b"".join(x for *_, x in held)
         ends = np.cumsum([len(x) for *_, x in held])
-        gram, first, size = parse(np.frombuffer(buffer, np.uint8), ends)
+        gram, first, size, again = parse(np.frombuffer(buffer, np.uint8), ends)
         which = np.searchsorted(ends, first, side="right")
         starts = ends - np.array([len(x) for *_, x in held])
         place = first - starts[which] + np.array([at for _, at, _ in held])[which]
-        return buffer, gram, np.array([i for i, *_ in held])[which], place, size, first
+        return buffer, gram, np.array([i for i, *_ in held])[which], place, size, first, again
 
     for i, text in enumerate(texts):
         text = text or b""
@@ -108,41 +120,42 @@ def phrases(texts: list[bytes | None]):
         yield parsed()
 
 
-def bits_of(grams: DataFrame) -> np.ndarray:
-    """The filter with the bits of these triggers set: FILTER_BITS at any size of the input."""
-    slot = F.pmod("gram", F.lit(FILTER_BITS))
+def bits_of(grams: DataFrame, size: int) -> np.ndarray:
+    """A filter of so many bits with those of these triggers set."""
+    slot = F.pmod("gram", F.lit(size))
     words = grams.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(gram, 64) as int)))").alias("bits"))
     got = words.toArrow()
-    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out = np.zeros(size // 64, dtype=np.int64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
 def has_bit(bits: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    slot = gram & (FILTER_BITS - 1)
+    slot = gram & (8 * len(bits) - 1)
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
 def parse_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, gram, content, place) for each phrase: the trigger's hash, the hash of the bytes of its windows, the first window's place."""
+    """(id, gram, content, place, again) for each phrase: the trigger's hash, the hash of the bytes of its windows, the first window's place, and
+    whether the phrase itself has the trigger again."""
 
     def make():
         def f(_, texts):
-            rows, columns = [], [[], [], []]
-            for buffer, gram, which, place, size, first in phrases(texts):
+            rows, columns = [], [[], [], [], []]
+            for buffer, gram, which, place, size, first, again in phrases(texts):
                 view = memoryview(buffer)
                 digest = xxhash.xxh3_64_intdigest
                 content = np.array([digest(view[a:b]) for a, b in zip(first.tolist(), (first + size + WINDOW - 1).tolist(), strict=True)], dtype=np.uint64).view(np.int64)
                 rows.append(which)
-                for c, x in zip(columns, (gram, content, place), strict=True):
+                for c, x in zip(columns, (gram, content, place, again), strict=True):
                     c.append(x)
             if not rows:
-                return [[], [], []], []
-            return [pa.array(np.concatenate(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], np.concatenate(rows)
+                return [[], [], [], []], []
+            return [pa.array(np.concatenate(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], np.concatenate(rows)
 
         return f
 
-    return map_texts(docs, [order_key(id_col)], text_col, make, "gram long, content long, place int").withColumnRenamed("_k0", "id")
+    return map_texts(docs, [order_key(id_col)], text_col, make, "gram long, content long, place int, again boolean").withColumnRenamed("_k0", "id")
 
 
 def hit_rows(docs: DataFrame, id_col: str, text_col: str, repeated, varied) -> DataFrame:
@@ -154,7 +167,7 @@ def hit_rows(docs: DataFrame, id_col: str, text_col: str, repeated, varied) -> D
 
         def f(_, texts):
             rows, columns = [], [[] for _ in range(5)]
-            for buffer, gram, which, place, size, first in phrases(texts):
+            for buffer, gram, which, place, size, first, _ in phrases(texts):
                 seen = set()
                 for k in np.flatnonzero(has_bit(again, gram)).tolist():
                     a, g = int(first[k]), int(gram[k])
@@ -250,9 +263,10 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     # the parse: triggers found once are done with
     rows = parse_rows(docs, id_col, text_col)
-    grams = rows.groupBy("gram").agg(F.count("*").alias("times"), F.min("content").alias("low"), F.max("content").alias("high")).where("times > 1")
-    grams = written(grams.select("gram", (F.col("low") != F.col("high")).alias("varied")), "triggers")
-    repeated, varied = spark.sparkContext.broadcast(bits_of(grams)), spark.sparkContext.broadcast(bits_of(grams.where("varied")))
+    grams = rows.groupBy("gram").agg(F.count("*").alias("times"), F.min("content").alias("low"), F.max("content").alias("high"), F.bool_or("again").alias("again")).where("times > 1 or again")
+    grams = written(grams.select("gram", ((F.col("low") != F.col("high")) | F.col("again")).alias("varied")), "triggers")
+    size = min(MOST_BITS, 1 << max(20, (BITS_EACH * grams.count()).bit_length()))
+    repeated, varied = spark.sparkContext.broadcast(bits_of(grams, size)), spark.sparkContext.broadcast(bits_of(grams.where("varied"), size))
     remove(grams)
     release(spark)
     hits = written(hit_rows(docs, id_col, text_col, repeated, varied), "phrases")
@@ -272,6 +286,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     span = (F.shiftleft(F.col("place").cast("long"), 32) + F.col("size") + F.lit(WINDOW - 1)).alias("span")
     out = written(whole.unionByName(parts).groupBy("id").agg(F.collect_list(span).alias("ranges")), "ranges")
     remove(hits, entries, table)
+    repeated.destroy()
+    varied.destroy()
     release(spark)
     return out
 
@@ -283,6 +299,9 @@ def phrase_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the input. Null and empty texts, and texts shorter than a window, lose nothing. Rows that repeat an id are one document: equal places in them
     don't remove each other. A null id comes before all others. Other columns are not read.
 
+    The parse has no suffix array of its own: its phrases are put in corpus order by id and place, and equal ones meet by their hash, which is what
+    windows of one phrase need, as none reaches beyond it.
+
     The texts are parsed into phrases at the triggers of a rolling hash. A phrase is named by its bytes with all that its windows cover, so equal
     windows lie in phrases with the same trigger. Phrases that stand earlier as a whole are covered as a whole. Of the rest, the dictionary,
     only phrases with a trigger that other phrases have as well are opened: their suffixes are sorted, and equal ones put in corpus order by

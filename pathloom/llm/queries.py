@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common, exact_dedup, line_dedup, lm_scoring, minmax_dedup, packing, phrase_dedup, pii_crf, quality, secret_scan
+from . import byte_bpe, common, exact_dedup, line_dedup, lm_scoring, minmax_dedup, oracles, packing, phrase_dedup, pii_crf, quality, secret_scan
 
 #: The vocabularies whose fertility is measured.
 FERTILITY = ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")
@@ -77,25 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_digest_run_merge": OP7_SQL, "op8_line_runs": OP8_SQL}
-
-
-OP7_SQL = """
-with d as (
-  select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as text_sha256 from documents
-)
-select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, text_sha256
-from d window w as (partition by text_sha256)
-"""
-
-OP8_SQL = """
-with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
-k as (
-  select doc_id, ls, list_transform(ls, lambda x: translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as ks
-  from l
-),
-f as (select k from (select distinct doc_id, unnest(ks) as k from k) where k <> '' group by k having count(*) >= 10),
-a as (select coalesce(list(k), []) as drop_keys from f),
-r as (select doc_id, ls, list_filter(ls, lambda x, i: not list_contains(drop_keys, ks[i])) as kept from k, a)
-select doc_id, len(ls)::bigint as n_lines, (len(ls) - len(kept))::bigint as n_dropped, sha256(coalesce(array_to_string(kept, chr(10)), '')) as kept_sha256 from r
-"""
+    return {"op3_minmax_dedup": oracles.OP3_SQL, "op4_prefix_free_parse": oracles.OP4_SQL, "op5_blob_ledger": oracles.op5_sql(), "op7_digest_run_merge": oracles.OP7_SQL, "op8_line_runs": oracles.OP8_SQL}

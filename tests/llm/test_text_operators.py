@@ -97,6 +97,30 @@ def test_phrase_dedup(docs, crowded, monkeypatch):
     assert got == want
 
 
+def removed(texts):
+    """Bytes that go from each text, by a set of all windows before."""
+    seen, out = set(), []
+    for t in texts:
+        b, gone = t.encode(), bytearray(len(t.encode()))
+        for s in range(len(b) - 99):
+            if b[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(b[s : s + 100])
+        out.append(sum(gone))
+    return out
+
+
+def test_phrases_of_bytes_that_repeat(spark):
+    import numpy as np
+
+    data = np.frombuffer(b"x" * 300_000, np.uint8)
+    assert len(phrase_dedup.parse(data, np.array([len(data)]))[0]) <= 5000
+    rng = np.random.default_rng(1)
+    texts = ["x" * 150, "ab" * 90, "abc" * 200 + BASE, "y" * 99, "z" * 161, "z" * 100, "ab" * 90, "".join(rng.choice(list("ab"), 4000)), "abcdefghijklmnopqrstuvwxyz0123456789" * 9, ("q" * 130 + "r") * 5]
+    got = by_id(phrase_dedup.phrase_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i].n_removed for i in range(len(texts))] == removed(texts)
+
+
 def test_minmax_dedup(docs):
     def shingles(t):
         w = (t or "").encode().lower().split()
