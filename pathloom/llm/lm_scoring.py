@@ -98,7 +98,7 @@ class Shape:
     grow with the square root of the vocabulary. base: for each level the logarithms of the groups' shares of
     what they are part of."""
 
-    MOST_LEVELS = 4
+    MOST_LEVELS = 3
 
     def __init__(self, histogram: list[tuple[int, int]]):
         lows: dict[int, int] = {}
