@@ -19,6 +19,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 #: Chunks that a worker remembers; beyond it the memory starts afresh.
 REMEMBERED = 600_000
+#: Words of a size, below which each gets a tree of its own.
+FEW = 8
 #: Symbols in a batch of words merged together.
 BATCH_SYMBOLS = 1 << 18
 
@@ -54,6 +56,7 @@ class ByteBPE:
         made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank_of, self.made = keys[order], order.astype(np.int64), made
+        self.rank_of_key, self.made_of_rank = dict(zip(keys.tolist(), range(len(keys)), strict=True)), made.tolist()
         self.none = len(made)
         self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self.words = regex.compile(SPLIT)
@@ -79,6 +82,10 @@ class ByteBPE:
             step = max(1, BATCH_SYMBOLS >> bits)
             for k in range(0, len(those), step):
                 part = those[k : k + step]
+                if len(part) < FEW:
+                    for i in part:
+                        out[i] = self._merge_one(words[i])
+                    continue
                 ids, ends = self._merge([words[i] for i in part], bits)
                 low = 0
                 for i, end in zip(part, ends, strict=True):
@@ -86,6 +93,51 @@ class ByteBPE:
                     low = end
         return out
 
+    def _merge_one(self, word: bytes) -> list[int]:
+        """The ids of a word by a tree of its own in plain lists, which for few words takes less time than steps over arrays: a merge changes three
+        leaves, and the way up ends where nothing changes."""
+        n = len(word)
+        size = 1 << max(1, (n - 1).bit_length())
+        start = self.of_byte[np.frombuffer(word, dtype=np.uint8)]
+        end = self.none * size
+        leaves = np.arange(size) + end
+        leaves[: n - 1] = self.ranks(start[:-1], start[1:]) * size + np.arange(n - 1)
+        levels = [leaves]
+        while len(levels[-1]) > 1:
+            levels.append(levels[-1].reshape(-1, 2).min(1))
+        tree = [0, *np.concatenate(levels[::-1]).tolist()]
+        symbols, after, before = start.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        rank_of, made, width, mask = self.rank_of_key, self.made_of_rank, self.width, size - 1
+
+        def put(leaf: int, rank: int) -> None:
+            node = leaf + size
+            tree[node] = rank * size + leaf
+            node >>= 1
+            while node:
+                a, b = tree[2 * node], tree[2 * node + 1]
+                least = a if a < b else b
+                if tree[node] == least:
+                    break
+                tree[node] = least
+                node >>= 1
+
+        while (root := tree[1]) < end:
+            place = root & mask
+            gone, leading = after[place], before[place]
+            following = after[gone]
+            own = symbols[place] = made[root // size]
+            symbols[gone] = -1
+            after[place] = following
+            put(gone, self.none)
+            if following < n:
+                before[following] = place
+                put(place, rank_of.get(own * width + symbols[following], self.none))
+            else:
+                put(place, self.none)
+            if leading >= 0:
+                put(leading, rank_of.get(symbols[leading] * width + own, self.none))
+        return [x for x in symbols if x >= 0]
+
     def _merge(self, words: list[bytes], bits: int) -> tuple[list[int], list[int]]:
         n, m = 1 << bits, len(words)
         symbols = np.full((m, n + 1), -1, dtype=np.int64)  # the last column stands for what lies beyond the word

@@ -175,6 +175,25 @@ def test_byte_bpe(docs):
         assert r.ids_sha256 == sha(",".join(map(str, ids)))
 
 
+@pytest.mark.parametrize("few", [8, 0])
+def test_byte_bpe_of_long_words(few, monkeypatch):
+    import random
+    import time
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(byte_bpe, "FEW", few)
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(3)
+    bpe, model = byte_bpe.ByteBPE(path), Tokenizer.from_file(path)
+    words = ["".join(rng.choices("etaoinshrdlu", k=n)) for n in (1, 2, 3, 4, 5, 31, 32, 33, 700, 4097)] + ["a" * 1000, "é" * 300, "AbaB" * 500]
+    for w in words:
+        assert bpe.merge([w.encode()]) == [model.encode(w, add_special_tokens=False).ids]
+    if few:
+        began = time.time()
+        bpe.merge(["".join(rng.choices("etaoinshrdlu", k=200_000)).encode()])
+        assert time.time() - began < 15
+
+
 def test_secrets_and_ledger(spark, docs):
     path = common.new_path(spark, "ledger")
     got = by_id(secret_scan.secret_scan(docs, path))
