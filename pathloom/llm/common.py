@@ -17,6 +17,8 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints/pathloom"
 BLOCK_BYTES = 4 << 20
 #: The order key of a row whose id is null: before all others.
 NULL_KEY = -(2**63)
+#: A key is heavy if more than one row in HEAVY has it; so fewer than HEAVY keys are.
+HEAVY = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -114,6 +116,19 @@ def order_key(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY))
 
 
+def join_one(rows: DataFrame, one: DataFrame, key: list[str], times: str, total: int) -> DataFrame:
+    """rows joined on key with one, which has one row a key and no other names of rows. times is a column of one: how many rows have the key, or fewer;
+    total is the number of all rows.
+
+    Heavy keys, of which there are fewer than HEAVY at any size, go to every task, and their rows stay where they are: no task gets all rows of a key
+    that very many have. The others are dealt out by key."""
+    own = [c for c in one.columns if c not in key]
+    heavy = F.col(times) * HEAVY > total
+    marked = rows.join(F.broadcast(one.where(heavy)), key, "left")
+    light = marked.where(F.col(times).isNull()).drop(*own).join(one.where(~heavy), key)
+    return marked.where(F.col(times).isNotNull()).unionByName(light)
+
+
 _HELD: dict[tuple, object] = {}
 
 
