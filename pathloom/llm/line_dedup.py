@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, order_key, remove, written
+from .common import join_one, map_texts, order_key, remove, written
 
 #: What is stripped at both ends of a line.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -55,22 +55,21 @@ class LineRuns:
         return [r for level in self.levels for r in level]
 
     def merged(self, runs: list[DataFrame]) -> DataFrame:
-        """Counts capped at enough, as more makes no difference."""
         out = runs[0]
         for r in runs[1:]:
             out = out.unionByName(r)
-        return out.groupBy("hash").agg(F.least(F.sum("n"), F.lit(self.enough)).alias("n"))
+        return out.groupBy("hash").agg(F.sum("n").alias("n"))
 
     def settled(self) -> DataFrame | None:
-        """Hashes found in enough documents so far."""
-        return self.merged(self.runs()).where(F.col("n") >= self.enough).select("hash") if self.levels else None
+        """Hashes found in enough documents so far, and in how many at least: a settled one isn't counted any more."""
+        return self.merged(self.runs()).where(F.col("n") >= self.enough) if self.levels else None
 
     def add(self, batch: DataFrame) -> None:
         """A batch of (hash), one row for each document that has it."""
         known = self.settled()
         counts = batch.groupBy("hash").agg(F.count("*").alias("n"))
         if known is not None:
-            counts = counts.join(known, "hash", "left_anti")
+            counts = counts.join(known.select("hash"), "hash", "left_anti")
         self.put(0, counts)
 
     def put(self, level: int, counts: DataFrame) -> None:
@@ -103,8 +102,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines. A null id is a document of its own. Other columns are not read.
     """
     table, _, frequent = shared_lines(docs, id_col, text_col, documents, least, batches)
-    # both sides are dealt by hash, and Spark splits the partition of a line that a third of all documents have
-    hit = table.join(frequent, "hash").groupBy("id").agg(F.collect_set("hash").alias("drop"))
+    # a line that a third of all documents have is known to each task, so its rows are not dealt to one of them
+    hit = join_one(table.select("id", "hash"), frequent, ["hash"], "n", table.count()).groupBy("id").agg(F.collect_set("hash").alias("drop"))
     joined = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"), order_key(id_col).alias("id")).join(hit.hint("shuffle_hash"), "id", "left")
     schema = "n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * texts
 
