@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, held, map_texts, order_key, release, remove, written
+from .common import NULL_KEY, held, join_one, map_texts, order_key, release, remove, written
 from .components import components
 
 #: Hash functions, of which both ends count: 2 * HASHES values a document. ROWS values are a band, of minima or maxima alone.
@@ -133,8 +133,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                # read where they are: sets of very long texts are no small copies
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     keep.append(i)
@@ -168,8 +169,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     rows = written(features(docs, id_col, text_col, k), "minmax")
-    classes = rows.where("n > 0").groupBy("set_key").agg(F.min("id").alias("node"))
-    member = rows.where("n > 0").select("id", "set_key").join(classes, "set_key").select("id", "node")
+    classes = rows.where("n > 0").groupBy("set_key").agg(F.min("id").alias("node"), F.count("*").alias("times"))
+    member = join_one(rows.where("n > 0").select("id", "set_key"), classes, ["set_key"], "times", rows.count()).select("id", "node")
     # a row for each class: that of its smallest id
     nodes = rows.where("n > 0").join(classes.select(F.col("node").alias("id"), "set_key"), ["id", "set_key"], "left_semi").dropDuplicates(["id"])
     nodes = written(nodes.select(F.col("id").alias("node"), "n", "bits0", "bits1", "bands"), "classes")
