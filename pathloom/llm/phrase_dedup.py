@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, order_key, release, remove, written
+from .common import join_one, map_texts, order_key, release, remove, written
 
 #: Bytes that repeat, and bytes that the rolling hash sees. A trigger is the least hash of the grams in a window, so each window has one, the same
 #: wherever the window stands, and about two bytes in SPREAD + 1 begin a phrase.
@@ -252,10 +252,11 @@ def window_rows(entries: DataFrame) -> DataFrame:
     return entries.select("body", "id", "place").mapInArrow(f, "h0 long, h1 long, id long, place int")
 
 
-def later(rows: DataFrame, firsts: DataFrame, key: list[str]) -> DataFrame:
-    """The rows that aren't the first of their key in corpus order, by id and place. Rows find their first by an equi-join that Spark may split, so
-    that a key with very many rows is no task's own."""
-    return rows.join(firsts.withColumnsRenamed({"id": "id0", "place": "place0"}), key).where("id <> id0 or place <> place0").drop("id0", "place0")
+def later(rows: DataFrame, firsts: DataFrame, key: list[str], total: int) -> DataFrame:
+    """The rows, total in all, that aren't the first of their key in corpus order, by id and place. firsts has times, the number of rows with the key; a key
+    with very many rows is no task's own."""
+    firsts = firsts.withColumnsRenamed({"id": "id0", "place": "place0"})
+    return join_one(rows, firsts, key, "times", total).where("id <> id0 or place <> place0").drop("id0", "place0", "times")
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,13 +276,14 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = hits.groupBy("gram", "content").agg(first.alias("first"), F.count("*").alias("times"), F.min("body").alias("body"))
     entries = written(entries.select("gram", "content", "first.id", "first.place", "times", "body"), "dictionary")
     # phrases that stand earlier as a whole
-    whole = later(hits.select("gram", "content", "id", "place", "size"), entries.where("times > 1").select("gram", "content", "id", "place"), ["gram", "content"]).select("id", "place", "size")
+    again = entries.where("times > 1").select("gram", "content", "id", "place", "times")
+    whole = later(hits.select("gram", "content", "id", "place", "size"), again, ["gram", "content"], hits.count()).select("id", "place", "size")
     # and windows of other phrases with the same trigger; triggers with very many phrases are opened before they are dealt out
     open_ = entries.where("body is not null").select("gram", "id", "place", "body")
     many = open_.groupBy("gram").count().where(F.col("count") > CROWDED).select("gram")
     table = written(window_rows(open_.join(many, "gram")), "windows")
-    firsts = table.groupBy("h0", "h1").agg(first.alias("first"), F.count("*").alias("times")).where("times > 1").select("h0", "h1", "first.id", "first.place")
-    parts = later(table, firsts, ["h0", "h1"]).select("id", "place", F.lit(1).alias("size"))
+    firsts = table.groupBy("h0", "h1").agg(first.alias("first"), F.count("*").alias("times")).where("times > 1").select("h0", "h1", "first.id", "first.place", "times")
+    parts = later(table, firsts, ["h0", "h1"], table.count()).select("id", "place", F.lit(1).alias("size"))
     parts = parts.unionByName(suffix_ranges(open_.join(many, "gram", "left_anti")))
     span = (F.shiftleft(F.col("place").cast("long"), 32) + F.col("size") + F.lit(WINDOW - 1)).alias("span")
     out = written(whole.unionByName(parts).groupBy("id").agg(F.collect_list(span).alias("ranges")), "ranges")
