@@ -43,8 +43,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a group is kept. A null id sorts below every other. An empty table gives an empty result; other columns are not read.
     """
     rows = written(digest_rows(docs, id_col, text_col, fold_case), "digests")
-    # a text that very many rows have reaches them where they are
-    out = join_one(rows, merge_runs(rows, keep), ["sha", "n", "check"], "size", rows.count())
+    # the tree's last run is read twice: a text that very many rows have reaches them where they are
+    best = written(merge_runs(rows, keep), "last-run")
+    out = join_one(rows, best, ["sha", "n", "check"], "size", rows.count())
     return out.select(
         F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
