@@ -254,9 +254,17 @@ def used_locations(s, d):
     return ep.used_locations(simple_states(s, d)).select("user_id", F.col("location_id").cast("bigint").alias("location_id"))
 
 
+def mean_in_order(points: str, c: str):
+    """The mean of c over an array of points, added in their order, to seven decimals as SQL rounds: halves by the product in a double, not by its digits."""
+    return F.round(F.aggregate(points, F.lit(0.0), lambda total, p: total + p[c]) / F.size(points) * 1e7) / 1e7
+
+
 def computed_places(s, d) -> DataFrame:
-    """The mean of the points made for each place."""
-    return good(s, d).groupBy("user_id", (F.col("place") + 1).alias("location_id")).agg(r(F.avg("lon"), 7).alias("lon"), r(F.avg("lat"), 7).alias("lat"))
+    """The mean of the points made for each place. Many means are halves at the eighth decimal, where the order of a sum decides; so the points are added
+    in order of ord, however the input is split."""
+    points = F.array_sort(F.collect_list(F.struct("ord", "lon", "lat"))).alias("points")
+    q = good(s, d).groupBy("user_id", (F.col("place") + 1).alias("location_id")).agg(points)
+    return q.select("user_id", "location_id", mean_in_order("points", "lon").alias("lon"), mean_in_order("points", "lat").alias("lat"))
 
 
 def location_distance_matrix(s, d):
