@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, held, join_one, map_texts, order_key, release, remove, written
+from .common import NULL_KEY, join_one, map_texts, order_key, release, remove, written
 from .components import components
 
 #: Hash functions, of which both ends count: 2 * HASHES values a document. ROWS values are a band, of minima or maxima alone.
@@ -17,8 +20,14 @@ HASHES, ROWS = 64, 4
 BANDS = 2 * HASHES // ROWS
 #: Hash functions of the deep sketch, of which only documents in crowded neighbourhoods get one.
 DEEP = 2048
-#: Shingles hashed at a time.
-CHUNK = 512
+#: Longs of the deep sketch that pairs are compared on first.
+HEAD = 8
+#: Shingles hashed at a time, and bytes of text taken at a time.
+CHUNK, SPAN = 1024, 1 << 16
+#: Longest word, in bytes, hashed by the tables of LETTERS.
+LONGEST = 32
+#: So many ids are sent to every task; more are dealt out with the texts.
+FEW = 2_000_000
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 FACTORS = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -27,6 +36,11 @@ WEIGHTS = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint6
 
 DEEP_FACTORS = _RNG.integers(1, 2**63, DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 DEEP_ADDENDS = _RNG.integers(0, 2**63, DEEP, dtype=np.uint64)
+#: A random number for each byte at each place in a word; A-Z have those of a-z.
+LETTERS = _RNG.integers(0, 2**64, (LONGEST, 256), dtype=np.uint64)
+LETTERS[:, 65:91] = LETTERS[:, 97:123]
+BLANK = np.isin(np.arange(256), [*range(9, 14), 32])
+_BLANKS = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def may_differ(bits: int, percent: int, deviations: float) -> int:
@@ -43,67 +57,128 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Hashes(dict):
-    """Words to 64-bit hashes; started afresh beyond a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingles(text: bytes | None, k: int, memory: Hashes) -> np.ndarray:
-    """The distinct k-word shingles of a text as sorted 64-bit hashes; the whole sequence where it has fewer words; nothing without words."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
-    m = max(1, len(h) - k + 1)
-    out = np.full(m, min(k, len(h)), dtype=np.uint64)
-    for j in range(min(k, len(h))):
-        out = mixed(out * WEIGHTS[j] + h[j : j + m])
-    return np.unique(out)
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, lower-cased, and each text's number of words. A word's hash is the sum of its letters' numbers, so two
+    different words have the same with probability 2**-64; those of more than LONGEST bytes have one by xxh3."""
+    joined = b" " + b" ".join(texts) + b" "
+    raw = np.frombuffer(joined, np.uint8)
+    blank = BLANK[raw]
+    turns = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, ends = turns[0::2], turns[1::2]
+    bounds = np.cumsum([1, *[len(x) + 1 for x in texts]])
+    counts = np.diff(np.searchsorted(starts, bounds))
+    if not len(starts):
+        return np.empty(0, np.uint64), counts
+    sizes = ends - starts
+    taken = np.minimum(sizes, LONGEST)
+    first = np.cumsum(taken) - taken
+    place = np.arange(first[-1] + taken[-1]) - np.repeat(first, taken)
+    letter = raw[place + np.repeat(starts, taken)]
+    found = np.add.reduceat(LETTERS.ravel()[place << 8 | letter], first)
+    for i in np.flatnonzero(sizes > LONGEST).tolist():
+        found[i] = xxhash.xxh3_64_intdigest(joined[starts[i] : ends[i]].lower())
+    return found, counts
+
+
+def pieces(text: bytes) -> list[bytes]:
+    """The text cut between words, into pieces of about SPAN bytes."""
+    out, at = [], 0
+    while len(text) - at > SPAN:
+        cut = _BLANKS.search(text, at + SPAN)
+        if not cut:
+            break
+        out.append(text[at : cut.start()])
+        at = cut.end()
+    return [*out, text[at:]]
+
+
+def words_of(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """word_hashes() of runs of the texts, in order; a long text is a run of its own."""
+    run, size = [], 0
+    for text in texts:
+        text = text or b""
+        if run and size + len(text) > SPAN:
+            yield word_hashes(run)
+            run, size = [], 0
+        if len(text) > SPAN:
+            h = np.concatenate([word_hashes([x])[0] for x in pieces(text)])
+            yield h, np.array([len(h)])
+            continue
+        run.append(text)
+        size += len(text)
+    if run:
+        yield word_hashes(run)
+
+
+def folded(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k consecutive values."""
+    out = np.full(len(h) - k + 1, k, np.uint64)
+    for j in range(k):
+        out = mixed(out * WEIGHTS[j] + h[j : j + len(out)])
+    return out
+
+
+def shingles(texts: list[bytes | None], k: int) -> list[np.ndarray]:
+    """The distinct k-word shingles of each text as sorted 64-bit hashes; the whole sequence where it has fewer words; nothing without words."""
+    sets = []
+    for h, counts in words_of(texts):
+        every = folded(h, k) if len(h) >= k else None
+        end = 0
+        for n in counts.tolist():
+            at, end = end, end + n
+            if n < k:
+                sets.append(folded(h[at:end], n) if n else np.empty(0, np.uint64))
+                continue
+            found = np.sort(every[at : end - k + 1])
+            new = np.ones(len(found), bool)
+            np.not_equal(found[1:], found[:-1], out=new[1:])
+            sets.append(found[new])
+    return sets
 
 
 def signature(found: np.ndarray, factors: np.ndarray = FACTORS, addends: np.ndarray = ADDENDS) -> np.ndarray:
-    """The least and the greatest value of each hash function over the set: one evaluation a shingle for two values."""
-    low, high = np.full(len(factors), 2**64 - 1, np.uint64), np.zeros(len(factors), np.uint64)
-    step = CHUNK * HASHES // len(factors)
-    for at in range(0, len(found), step):
-        y = found[at : at + step, None] * factors + addends
-        np.minimum(low, y.min(0), out=low)
-        np.maximum(high, y.max(0), out=high)
-    return mixed(np.concatenate([low, high]))
-
-
-def sketch(values: np.ndarray) -> list[int]:
-    """One bit of each value, as longs."""
-    return np.packbits((values & np.uint64(1)).astype(bool)).view(np.int64).tolist()
+    """The least and the greatest value of each hash function over the set, least ones first: one evaluation a shingle for two values. The functions
+    work on the upper halves of the shingles' hashes, 32 bits, of which numpy takes twice as many at a time."""
+    upper = (found >> np.uint64(32)).astype(np.uint32)
+    a, b = factors.astype(np.uint32)[:, None], (addends >> np.uint64(31)).astype(np.uint32)[:, None]
+    low, high = np.full(len(a), 2**32 - 1, np.uint32), np.zeros(len(a), np.uint32)
+    room = np.empty(HASHES * CHUNK, np.uint32)
+    for f in range(0, len(a), HASHES):
+        own = slice(f, f + HASHES)
+        for at in range(0, len(upper), CHUNK):
+            x = upper[at : at + CHUNK]
+            y = room[: len(a[own]) * len(x)].reshape(-1, len(x))
+            np.add(np.multiply(a[own], x, out=y), b[own], out=y)
+            np.minimum(low[own], y.min(1), out=low[own])
+            np.maximum(high[own], y.max(1), out=high[own])
+    return mixed(np.concatenate([low, high]).astype(np.uint64))
+
+
+def sketch(values: np.ndarray) -> np.ndarray:
+    """One bit of each value of a row, as longs."""
+    return np.packbits((values & np.uint64(1)).astype(bool), axis=-1).view(np.int64)
+
+
+def lists(values: np.ndarray, has: np.ndarray) -> pa.Array:
+    """The rows of values as lists, null where has is false."""
+    at = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(values.ravel()), type=pa.list_(pa.field("element", pa.int64())), mask=pa.array(~has))
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(id, n, set_key, bits0, bits1, bands) for each row: the set's size, its 128-bit digest, the sketch and the band hashes."""
 
     def make():
-        memory = held(("hashes",), Hashes)
-
         def f(_, texts):
-            columns = [[] for _ in range(5)]
-            for text in texts:
-                found = shingles(text, k, memory)
-                if len(found):
-                    s = signature(found)
-                    bits = sketch(s)
-                    band = np.arange(BANDS, dtype=np.uint64)
-                    for row in s.reshape(BANDS, ROWS).T:
-                        band = mixed(band * WEIGHTS[0] + row)
-                    values = (len(found), xxhash.xxh3_128_digest(found.tobytes()), *bits, band.view(np.int64).tolist())
-                else:
-                    values = (0, None, None, None, None)
-                for c, x in zip(columns, values, strict=True):
-                    c.append(x)
-            return columns, None
+            sets = shingles(texts, k)
+            sizes = np.array([len(x) for x in sets], np.int64)
+            has, none = sizes > 0, np.zeros(2 * HASHES, np.uint64)
+            values = np.stack([signature(x) if len(x) else none for x in sets])
+            band, bits = np.tile(np.arange(BANDS, dtype=np.uint64), (len(sets), 1)), sketch(values)
+            for row in range(ROWS):
+                band = mixed(band * WEIGHTS[0] + values[:, row::ROWS])
+            keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+            return [sizes, keys, pa.array(bits[:, 0], mask=~has), pa.array(bits[:, 1], mask=~has), lists(band.view(np.int64), has)], None
 
         return f
 
@@ -114,10 +189,8 @@ def whole_sets(docs: DataFrame, id_col: str, text_col: str, k: int, deep: bool)
     """(id, members, deep): a set's 64-bit hashes, sorted, as bytes, and its deep sketch if asked for."""
 
     def make():
-        memory = held(("hashes",), Hashes)
-
         def f(_, texts):
-            found = [shingles(t, k, memory) for t in texts]
+            found = shingles(texts, k)
             return [[x.tobytes() for x in found], [sketch(signature(x, DEEP_FACTORS, DEEP_ADDENDS)) if deep else None for x in found]], None
 
         return f
@@ -129,8 +202,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union. Each pair brings its two sets together; they may meet anywhere."""
 
     def check(batches):
-        import pyarrow as pa
-
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
@@ -147,6 +218,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
+def nearer(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose deep sketches (id, deep) leave it open that they are similar enough."""
+    most = may_differ(2 * DEEP, percent, 5.2)
+
+    def check(batches):
+        for batch in batches:
+            x, y = (batch.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, DEEP // 32) for c in "xy")
+            keep = pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "ab"], names=["a", "b"])
+
+    left = pairs.join(sketches.select(F.col("id").alias("a"), F.col("deep").alias("x")), "a")
+    both = left.join(sketches.select(F.col("id").alias("b"), F.col("deep").alias("y")), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(check, "a long, b long")
+
+
 def likely(a: str, b: str, percent: int) -> Column:
     """What two sets that are similar enough have in common: sizes within the bound, and sketches that differ on few bits."""
     near = F.expr(f"bit_count({a}.bits0 ^ {b}.bits0) + bit_count({a}.bits1 ^ {b}.bits1) <= {may_differ(2 * HASHES, percent, 6)}")
@@ -170,48 +256,65 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = written(features(docs, id_col, text_col, k), "minmax")
     classes = rows.where("n > 0").groupBy("set_key").agg(F.min("id").alias("node"), F.count("*").alias("times"))
-    member = join_one(rows.where("n > 0").select("id", "set_key"), classes, ["set_key"], "times", rows.count()).select("id", "node")
+    total = rows.count()
+    member = join_one(rows.where("n > 0").select("id", "set_key"), classes, ["set_key"], "times", total).select("id", "node")
+    # only where ids repeat is there anything to drop
+    once_each = rows.select("id").distinct().count() == total
+    one_each = lambda df, key: df if once_each else df.dropDuplicates([key])
     # a row for each class: that of its smallest id
-    nodes = rows.where("n > 0").join(classes.select(F.col("node").alias("id"), "set_key"), ["id", "set_key"], "left_semi").dropDuplicates(["id"])
+    nodes = one_each(rows.where("n > 0").join(classes.select(F.col("node").alias("id"), "set_key"), ["id", "set_key"], "left_semi"), "id")
     nodes = written(nodes.select(F.col("id").alias("node"), "n", "bits0", "bits1", "bands"), "classes")
+    # the bands that several classes have; all that follows reads these alone
+    every = nodes.select(F.explode("bands").alias("band"), "node")
+    repeated = every.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("band")
+    shared = written(every.join(repeated.hint("shuffle_hash"), "band", "left_semi"), "shared")
+    release(spark)
+    few = written(nodes.join(shared.select("node").distinct().hint("shuffle_hash"), "node", "left_semi"), "compared")
     texts = docs.select(F.col(text_col).alias("text"), order_key(id_col).alias("node"))
 
     def sets_of(wanted: DataFrame, deep: bool = False) -> DataFrame:
-        return written(whole_sets(texts.join(wanted.distinct().hint("shuffle_hash"), "node", "left_semi"), "node", "text", k, deep).dropDuplicates(["id"]), "sets")
+        ids = written(wanted.distinct(), "wanted")
+        own = texts.join(ids.hint("broadcast" if ids.count() <= FEW else "shuffle_hash"), "node", "left_semi")
+        out = written(one_each(whole_sets(own, "node", "text", k, deep), "id"), "sets")
+        remove(ids)
+        return out
 
     label = F.coalesce(F.col("label"), F.col("node")).alias("label")
-    placed = nodes.withColumn("label", F.col("node"))
+    placed = few.select("node", F.col("node").alias("label"), "n", "bits0", "bits1")
     pairs, links = [], []
-    for order in (F.xxhash64("x.node"), F.xxhash64("band", "x.node")):
-        buckets = placed.select(F.explode("bands").alias("band"), F.struct("node", "label", "n", "bits0", "bits1").alias("x"))
-        ends = buckets.groupBy("band").agg(F.min_by("x", order).alias("y"), F.min("x.label").alias("low"), F.max("x.label").alias("high")).where("low <> high")
-        found = buckets.join(ends.select("band", "y"), "band").where((F.col("x.label") != F.col("y.label")) & likely("x", "y", percent))
-        pairs.append(written(found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs"))
+    for order in (F.xxhash64("node"), F.xxhash64("band", "node")):
+        buckets = shared.join(placed.select("node", "label"), "node")
+        ends = buckets.groupBy("band").agg(F.min_by("node", order).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        met = buckets.join(ends.select("band", "hub"), "band").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        side = lambda c, name: placed.select(F.col("node").alias(c), F.struct("label", "n", "bits0", "bits1").alias(name))
+        found = met.join(side("a", "x"), "a").join(side("b", "y"), "b").where((F.col("x.label") != F.col("y.label")) & likely("x", "y", percent))
+        pairs.append(written(found.select("a", "b"), "pairs"))
         sets = sets_of(pairs[-1].select(F.explode(F.array("a", "b")).alias("node")))
         links.append(written(confirmed(pairs[-1], sets, percent), "links"))
         remove(sets)
         labels = written(components(reduce(DataFrame.unionByName, links)), "labels")
         # nodes, each with the smallest node that it is known to reach
-        placed = written(nodes.join(labels, "node", "left").select("node", label, "n", "bits0", "bits1", "bands"), "placed")
+        placed = written(few.join(labels, "node", "left").select("node", label, "n", "bits0", "bits1"), "placed")
         release(spark)
     turn = F.xxhash64("band", "node")
     # buckets whose members are still in several components
-    spread = placed.select("node", "label", F.explode("bands").alias("band"))
-    hubs = spread.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(turn, "label"))["label"].alias("main")).where("low <> high").select("band", "main")
-    full = written(placed.select("node", "label", "n", "bits0", "bits1", F.explode("bands").alias("band")).join(hubs, "band"), "crowded")
+    spread = shared.join(placed.select("node", "label"), "node")
+    hubs = spread.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", turn).alias("main")).where("low <> high").select("band", "main")
+    full = written(shared.join(hubs, "band").join(placed, "node"), "crowded")
     release(spark)
     apart = full.where("label <> main")
     meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & likely("x", "y", percent)
     crowd = apart.alias("x").join(full.alias("y"), meet, "left_semi").select("node").union(full.alias("x").join(apart.alias("y"), meet, "left_semi").select("node"))
     sets = sets_of(crowd, deep=True)
     release(spark)
-    more = sets.select(F.col("id").alias("node"), "deep").join(placed.select("node", F.array_sort("bands").alias("bands")), "node")
+    more = sets.select(F.col("id").alias("node"), F.slice("deep", 1, HEAD).alias("deep")).join(few.select("node", F.array_sort("bands").alias("bands")), "node")
     apart, full = apart.join(more, "node"), full.drop("main").join(more, "node")
-    differ = " + ".join(f"bit_count(x.deep[{i}] ^ y.deep[{i}])" for i in range(DEEP // 32))
-    nearer = F.expr(f"{differ} <= {may_differ(2 * DEEP, percent, 5.2)}")
+    differ = " + ".join(f"bit_count(x.deep[{i}] ^ y.deep[{i}])" for i in range(HEAD))
+    open_ = F.expr(f"{differ} <= {may_differ(64 * HEAD, percent, 6)}")
     once = F.col("x.band") == F.array_min(F.array_intersect("x.bands", "y.bands"))
-    rest = apart.alias("x").join(full.alias("y"), meet & nearer & once).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    rest = apart.alias("x").join(full.alias("y"), meet & open_ & once).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     rest = written(rest.join(reduce(DataFrame.unionByName, pairs), ["a", "b"], "left_anti"), "pairs")
+    rest = written(nearer(rest, sets, percent), "pairs")
     if not rest.isEmpty():
         found = written(confirmed(rest, sets, percent), "links")
         if not found.isEmpty():
