@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,10 @@ from .components import components
 #: Hash functions, of which both ends count: 2 * HASHES values a document. ROWS values are a band, of minima or maxima alone.
 HASHES, ROWS = 64, 4
 BANDS = 2 * HASHES // ROWS
-#: Hash functions of the deep sketch, of which only documents in crowded neighbourhoods get one.
-DEEP = 2048
-#: Longs of the deep sketch that pairs are compared on first.
-HEAD = 8
+#: Hash functions of the deep sketch, which only sets of more than LONG shingles in crowded neighbourhoods get: it is shorter than they are.
+DEEP, LONG = 2048, 1024
+#: Members of a bucket that are compared with each other, or with as many more, at a time: on sketches, and on whole sets, which may take ROOM bytes.
+TILE, SET_TILE, ROOM = 1024, 512, 16 << 20
 #: Shingles hashed at a time, and bytes of text taken at a time.
 CHUNK, SPAN = 1024, 1 << 16
 #: Longest word, in bytes, hashed by the tables of LETTERS.
@@ -186,12 +187,12 @@ def features(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, id_col: str, text_col: str, k: int, deep: bool) -> DataFrame:
-    """(id, members, deep): a set's 64-bit hashes, sorted, as bytes, and its deep sketch if asked for."""
+    """(id, members, deep): a set's 64-bit hashes, sorted, as bytes, and a long one's deep sketch if asked for."""
 
     def make():
         def f(_, texts):
             found = shingles(texts, k)
-            return [[x.tobytes() for x in found], [sketch(signature(x, DEEP_FACTORS, DEEP_ADDENDS)) if deep else None for x in found]], None
+            return [[x.tobytes() for x in found], [sketch(signature(x, DEEP_FACTORS, DEEP_ADDENDS)) if deep and len(x) > LONG else None for x in found]], None
 
         return f
 
@@ -218,19 +219,111 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
-def nearer(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose deep sketches (id, deep) leave it open that they are similar enough."""
-    most = may_differ(2 * DEEP, percent, 5.2)
+def tiled(rows: DataFrame) -> DataFrame:
+    """rows (band, node, parts, ...), each once for every pair of tiles of its bucket that its own tile is in, with the pair's tiles i <= j and its own. A
+    bucket has as many tiles as parts says, and any two of its members meet in one pair of tiles."""
+    placed = rows.withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    every = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return written(every.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("parts", "other"), "tiles")
 
-    def check(batches):
-        for batch in batches:
-            x, y = (batch.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, DEEP // 32) for c in "xy")
-            keep = pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "ab"], names=["a", "b"])
 
-    left = pairs.join(sketches.select(F.col("id").alias("a"), F.col("deep").alias("x")), "a")
-    both = left.join(sketches.select(F.col("id").alias("b"), F.col("deep").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(check, "a long, b long")
+def in_tiles(rows: DataFrame, percent: int, work: Callable, schema: str) -> DataFrame:
+    """Rows of schema that work(tile, percent) makes of each pair of tiles; tile has the columns by name. Pairs are dealt out by ranges, which hold about as
+    many rows each."""
+    keys = ["band", "i", "j"]
+
+    def run(batches):
+        left = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                left = pa.concat_batches([left, batch]) if left is not None and left.num_rows else batch
+            if left is None or not left.num_rows:
+                continue
+            of = np.stack([left.column(c).to_numpy() for c in keys])
+            cuts = [0, *(np.flatnonzero((of[:, 1:] != of[:, :-1]).any(0)) + 1).tolist(), left.num_rows]
+            # the last pair of tiles may go on in the next batch
+            ends = cuts[1:] if batch is None else cuts[1:-1]
+            made = [work({c: left.column(c).slice(a, b - a) for c in left.schema.names}, percent) for a, b in zip(cuts, ends, strict=False) if b - a > 1]
+            left = left.slice(ends[-1]) if ends else left
+            both = np.concatenate([np.empty((0, 2), np.int64), *made])
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=names)
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def open_pairs(tile: dict[str, pa.Array], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The pairs of rows of a pair of tiles that may be similar enough and have different labels, each row with those that it is to be compared with. A pair
+    that shares several buckets is left to the one that comes first."""
+    label, n, own = (tile[c].to_numpy() for c in ("label", "n", "own"))
+    values, kinds = np.unique(label, return_inverse=True)
+    if len(values) == 1:
+        return
+    bits = np.stack([tile[c].to_numpy() for c in ("bits0", "bits1")], 1).view(np.uint64)
+    bands = tile["bands"].flatten().to_numpy().reshape(-1, BANDS)
+    first = np.flatnonzero(bands[0] == tile["band"][0].as_py())[0]
+    across = tile["i"][0].as_py() != tile["j"][0].as_py()
+    most = may_differ(2 * HASHES, percent, 6)
+    # rows of the commonest label have nothing to ask each other
+    apart = np.flatnonzero(kinds != np.bincount(kinds).argmax())
+    turn = np.full(len(n), len(n))
+    turn[apart] = apart
+    for at in range(0, len(apart), 64):
+        x = apart[at : at + 64, None]
+        near = (label[x] != label) & (turn > x) & (100 * np.minimum(n[x], n) >= percent * np.maximum(n[x], n))
+        if across:
+            near &= own[x] != own
+        a, b = np.nonzero(near)
+        a = x[a, 0]
+        keep = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) <= most
+        a, b = a[keep], b[keep]
+        keep = (bands[a] == bands[b]).argmax(1) == first
+        a, b = a[keep], b[keep]
+        for one in np.split(np.arange(len(a)), np.flatnonzero(a[1:] != a[:-1]) + 1) if len(a) else []:
+            yield int(a[one[0]]), b[one]
+
+
+def asked(tile: dict[str, pa.Array], percent: int) -> np.ndarray:
+    """(band, node) of the rows of a pair of tiles that are in such a pair."""
+    hit = np.zeros(len(tile["n"]), bool)
+    for x, ys in open_pairs(tile, percent):
+        hit[x] = True
+        hit[ys] = True
+    return np.stack([tile["band"].to_numpy()[hit], tile["node"].to_numpy()[hit]], 1)
+
+
+def linked(tile: dict[str, pa.Array], percent: int) -> np.ndarray:
+    """Links (a, b) on whole sets between the rows of a pair of tiles, as many as connect what is connected: a row is asked nothing about
+    rows that it is known to reach."""
+    node, n, long = tile["node"].to_numpy(), tile["n"].to_numpy(), tile["deep"].is_valid().to_numpy(zero_copy_only=False)
+    reach = np.unique(tile["label"].to_numpy(), return_inverse=True)[1]
+    ends = np.cumsum(n)
+    shingle = seen = deep = None
+    links = []
+    for x, ys in open_pairs(tile, percent):
+        ys = ys[reach[ys] != reach[x]]
+        if long[x] and len(ys):
+            if deep is None:
+                deep = np.zeros((len(n), DEEP // 32), np.uint64)
+                deep[long] = tile["deep"].drop_null().flatten().to_numpy().view(np.uint64).reshape(-1, DEEP // 32)
+            ys = ys[~long[ys] | (np.bitwise_count(deep[x] ^ deep[ys]).sum(1, dtype=np.int64) <= may_differ(2 * DEEP, percent, 5.2))]
+        if not len(ys):
+            continue
+        if shingle is None:
+            # shingles by small numbers, and room to mark those of one set
+            every = np.concatenate([np.frombuffer(m.as_buffer(), np.uint64) for m in tile["members"]])
+            values, shingle = np.unique(every, return_inverse=True)
+            seen = np.zeros(len(values), bool)
+        mine = shingle[ends[x] - n[x] : ends[x]]
+        seen[mine] = True
+        found = seen[np.concatenate([shingle[ends[y] - n[y] : ends[y]] for y in ys.tolist()])]
+        both = np.add.reduceat(found, np.cumsum(n[ys]) - n[ys], dtype=np.int64)
+        seen[mine] = False
+        for y in ys[100 * both >= percent * (n[x] + n[ys] - both)].tolist():
+            if reach[y] != reach[x]:
+                links.append(sorted((node[x], node[y])))
+                reach[reach == reach[y]] = reach[x]
+    return np.array(links, np.int64).reshape(-1, 2)
 
 
 def likely(a: str, b: str, percent: int) -> Column:
@@ -249,9 +342,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets are one class, and only classes are compared. A band is ROWS minima or ROWS maxima; a pair at the bound shares none of the
     BANDS bands with probability (1 - 0.8**4)**32 < 10**-7. In each bucket of a band a hub, the first member in an order that all bands share, is
     compared with all others, so a bucket of m classes has fewer than m pairs, and the bands of a large group have the same few hubs. What isn't
-    in its hub's component then is compared with a second one, the first member in an order of the band's own. After these links are merged, members of a bucket that aren't with its hub are compared with all that are in other
-    components than theirs, so no link between components goes unseen: no bucket is capped. These comparisons are made within the join, on deep
-    sketches of 2 * DEEP bits, and a pair that shares several buckets in the first of them; only what the sketches leave open is compared whole.
+    in its hub's component then is compared with a second one, the first member in an order of the band's own. After these links are merged, members
+    of a bucket that are still in different components are compared in pairs of tiles: no bucket is capped, and no link between components goes
+    unseen. Sketches and whole sets of a pair of tiles are compared in memory, so that rows are made of members and links alone, not of pairs.
+    The comparisons of a bucket still are the product of those that are apart with all; the rows dealt out are that by TILE.
     """
     spark = docs.sparkSession
     rows = written(features(docs, id_col, text_col, k), "minmax")
@@ -283,12 +377,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = few.select("node", F.col("node").alias("label"), "n", "bits0", "bits1")
     pairs, links = [], []
     for order in (F.xxhash64("node"), F.xxhash64("band", "node")):
-        buckets = shared.join(placed.select("node", "label"), "node")
-        ends = buckets.groupBy("band").agg(F.min_by("node", order).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        met = buckets.join(ends.select("band", "hub"), "band").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        side = lambda c, name: placed.select(F.col("node").alias(c), F.struct("label", "n", "bits0", "bits1").alias(name))
-        found = met.join(side("a", "x"), "a").join(side("b", "y"), "b").where((F.col("x.label") != F.col("y.label")) & likely("x", "y", percent))
-        pairs.append(written(found.select("a", "b"), "pairs"))
+        buckets = shared.join(placed, "node")
+        own = ("node", "label", "n", "bits0", "bits1")
+        ends = buckets.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), *[F.min_by(c, order).alias(f"hub_{c}") for c in own]).where("low <> high")
+        hubs = ends.select("band", F.struct(*[F.col(f"hub_{c}").alias(c) for c in own]).alias("y"))
+        met = buckets.select("band", F.struct(*own).alias("x")).join(hubs, "band").where((F.col("x.label") != F.col("y.label")) & likely("x", "y", percent))
+        found = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        pairs.append(written(found.distinct(), "pairs"))
         sets = sets_of(pairs[-1].select(F.explode(F.array("a", "b")).alias("node")))
         links.append(written(confirmed(pairs[-1], sets, percent), "links"))
         remove(sets)
@@ -296,30 +391,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # nodes, each with the smallest node that it is known to reach
         placed = written(few.join(labels, "node", "left").select("node", label, "n", "bits0", "bits1"), "placed")
         release(spark)
-    turn = F.xxhash64("band", "node")
     # buckets whose members are still in several components
-    spread = shared.join(placed.select("node", "label"), "node")
-    hubs = spread.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", turn).alias("main")).where("low <> high").select("band", "main")
-    full = written(shared.join(hubs, "band").join(placed, "node"), "crowded")
-    release(spark)
-    apart = full.where("label <> main")
-    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & likely("x", "y", percent)
-    crowd = apart.alias("x").join(full.alias("y"), meet, "left_semi").select("node").union(full.alias("x").join(apart.alias("y"), meet, "left_semi").select("node"))
-    sets = sets_of(crowd, deep=True)
+    count = F.ceil(F.count("*") / TILE).cast("int").alias("parts")
+    spread = shared.join(placed.select("node", "label"), "node").groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), count).where("low <> high")
+    crowded = written(shared.join(spread.select("band", "parts"), "band").join(placed, "node").join(few.select("node", "bands"), "node"), "crowded")
+    tiles = tiled(crowded)
     release(spark)
-    more = sets.select(F.col("id").alias("node"), F.slice("deep", 1, HEAD).alias("deep")).join(few.select("node", F.array_sort("bands").alias("bands")), "node")
-    apart, full = apart.join(more, "node"), full.drop("main").join(more, "node")
-    differ = " + ".join(f"bit_count(x.deep[{i}] ^ y.deep[{i}])" for i in range(HEAD))
-    open_ = F.expr(f"{differ} <= {may_differ(64 * HEAD, percent, 6)}")
-    once = F.col("x.band") == F.array_min(F.array_intersect("x.bands", "y.bands"))
-    rest = apart.alias("x").join(full.alias("y"), meet & open_ & once).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    rest = written(rest.join(reduce(DataFrame.unionByName, pairs), ["a", "b"], "left_anti"), "pairs")
-    rest = written(nearer(rest, sets, percent), "pairs")
-    if not rest.isEmpty():
-        found = written(confirmed(rest, sets, percent), "links")
-        if not found.isEmpty():
-            labels = written(components(reduce(DataFrame.unionByName, [*links, found])), "labels")
-    remove(sets)
+    open_ = written(in_tiles(tiles, percent, asked, "band long, node long").distinct(), "open")
+    remove(tiles)
+    if not open_.isEmpty():
+        sets = sets_of(open_.select("node"), deep=True)
+        own = crowded.drop("parts").join(open_, ["band", "node"], "left_semi")
+        count = F.ceil(F.greatest(F.count("*") / SET_TILE, F.sum("n") * 8 / ROOM)).cast("int").alias("parts")
+        tiles = tiled(own.join(own.groupBy("band").agg(count), "band").join(sets.withColumnRenamed("id", "node"), "node"))
+        links.append(written(in_tiles(tiles, percent, linked, "a long, b long"), "links"))
+        remove(sets, tiles)
+        if not links[-1].isEmpty():
+            labels = written(components(reduce(DataFrame.unionByName, links)), "labels")
+    remove(crowded)
     whole = member.join(labels, "node", "left").select("id", label).groupBy("id").agg(F.min("label").alias("label"))
     own = F.coalesce("label", "id")
     real = lambda c: F.when(c != NULL_KEY, c)
